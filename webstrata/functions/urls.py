@@ -8,7 +8,7 @@ the branches built from higher-order functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters each URI part may hold unescaped (RFC 2396 with RFC 2732).
@@ -44,6 +44,17 @@ def apply_sql(value: Column, name: str, body: str) -> Column:
                                         F.expr(f"{name} -> {body}")), 1)
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Append costly columns that later filters read instead of recomputing.
+
+    A filter on a projected column is pushed below the projection together with the
+    whole expression; it is not pushed below a generator.
+    """
+    for name, value in columns.items():
+        df = df.withColumn(name, F.explode(F.array(value)))
+    return df
+
+
 def _part(url: Column, name: str) -> Column:
     return F.try_parse_url(url, F.lit(name))
 
@@ -122,18 +133,18 @@ _LOWER_ORIGIN_SQL = r"""regexp_replace(concat(
       lower(regexp_extract(origin, r'//(?:.*@)?([^@]*)$', 1))),
     r'^(http:.*):80$|^(https:.*):443$|^(ftp:.*):21$|^([^:]*:.*):$', '$1$2$3$4')"""
 
-# Escapes and origin as a browser reports them for a web URL.
+# Escapes, origin and path as a browser reports them.
 _BROWSER_FORM_SQL = let(
     let("regexp_extract(absolute, r'^([^?#]*)', 1)", "head",
         let("substr(absolute, length(head) + 1)", "tail",
-            f"concat({_escape_sql('head', _BROWSER_PATH)}, "
-            f"{_escape_sql('tail', _BROWSER_QUERY)})")),
-    "escaped", "CASE WHEN escaped RLIKE r'(?i)^(?:https?|ftp)://' THEN " + let(
-        "regexp_extract(escaped, r'^([^/]*//[^/?#]*)', 1)", "origin", let(
-            "substr(escaped, length(origin) + 1)", "rest",
-            f"""concat({_LOWER_ORIGIN_SQL},
-                       CASE WHEN startswith(rest, '/') THEN '' ELSE '/' END, rest)"""))
-    + " ELSE escaped END")
+            f"""named_struct('head', {_escape_sql('head', _BROWSER_PATH)},
+                             'tail', {_escape_sql('tail', _BROWSER_QUERY)})""")),
+    "e", "concat(CASE WHEN e.head RLIKE r'(?i)^(?:https?|ftp|file)://' THEN " + let(
+        "regexp_extract(e.head, r'^([^/]*//[^/]*)', 1)", "origin", let(
+            "concat(CASE WHEN length(e.head) = length(origin) THEN '/' ELSE '' END, "
+            "substr(e.head, length(origin) + 1))", "path",
+            f"concat({_LOWER_ORIGIN_SQL}, {_DROP_DOT_SEGMENTS_SQL})"))
+    + " ELSE e.head END, e.tail)")
 
 _RESOLVE_SQL = let(let(
     r"regexp_replace(regexp_replace(href, r'^[\x00-\x20]+|[\x00-\x20]+$', ''), "
@@ -148,11 +159,9 @@ _RESOLVE_SQL = let(let(
           WHEN ref RLIKE r'^{_SCHEME}' THEN ref
           WHEN at.scheme = '' THEN NULL
           WHEN startswith(at.path, '//') THEN concat(at.scheme, at.path, at.suffix)
-          WHEN at.path != '' THEN concat(at.origin, """ + let(
-            """CASE WHEN startswith(at.path, '/') THEN at.path
-                    WHEN at.folder = '' THEN concat('/', at.path)
-                    ELSE concat(at.folder, at.path) END""",
-            "path", _DROP_DOT_SEGMENTS_SQL) + r""", at.suffix)
+          WHEN startswith(at.path, '/') THEN concat(at.origin, at.path, at.suffix)
+          WHEN at.path != '' THEN concat(
+              at.origin, CASE WHEN at.folder = '' THEN '/' ELSE at.folder END, at.path, at.suffix)
           WHEN startswith(at.suffix, '?')
                THEN concat(regexp_extract(base, r'^([^?#]*)', 1), at.suffix)
           ELSE concat(regexp_extract(base, r'^([^#]*)', 1), at.suffix) END""")),

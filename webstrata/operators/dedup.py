@@ -40,13 +40,11 @@ def dedup_calls(calls: DataFrame) -> DataFrame:
 def unvisited(candidates: DataFrame, visited: DataFrame, key: str = "url") -> DataFrame:
     """Distinct candidate keys that were never visited.
 
-    The visited table is reduced to the keys at hand before the anti join: that reduction
-    can use the (smaller) candidates as build side or Bloom filter, so a large visited
-    table is read but need not be shuffled as a whole.
+    Candidates are reduced to distinct keys first (map-side, then by key), so a link that
+    every page carries weighs one row, and the anti join reuses that partitioning.
     """
     fresh = candidates.select(key).where(F.col(key).isNotNull()).distinct()
-    seen = visited.select(key).join(fresh, key, "left_semi")
-    return fresh.join(seen, key, "left_anti")
+    return fresh.join(visited.select(key), key, "left_anti")
 
 
 def politeness_rounds(requests: DataFrame, uri: str = "uri") -> DataFrame:

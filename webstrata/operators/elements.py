@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.functions.urls import resolve_href
+from webstrata.functions.urls import resolve_href, settle
 from webstrata.operators import markup
 from webstrata.operators.domtree import page_elements
 from webstrata.options import CaptureOptions
@@ -39,9 +39,9 @@ def _elements(pages: DataFrame, wanted, mentioning: str, source: str) -> DataFra
 
 def _resolved(raw: DataFrame) -> DataFrame:
     """Decode ``raw_href`` and ``base_raw`` and resolve the link."""
-    decoded = raw.withColumns({"href": markup.decode_references(F.col("raw_href")),
-                               "base_href": markup.decode_references(F.col("base_raw"))})
-    return decoded.withColumn("href_abs", resolve_href("url", "base_href", "href"))
+    decoded = settle(raw, href=markup.decode_references(F.col("raw_href")),
+                     base_href=markup.decode_references(F.col("base_raw")))
+    return settle(decoded, href_abs=resolve_href("url", "base_href", "href"))
 
 
 def clickable_elements(pages: DataFrame) -> DataFrame:

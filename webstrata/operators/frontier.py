@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.functions.urls import canonical_url, url_host
+from webstrata.functions.urls import canonical_url, settle, url_host
 from webstrata.operators.dedup import unvisited
 from webstrata.operators.elements import clickable_elements
 from webstrata.operators.filters import drop_unwanted_href
@@ -17,8 +17,8 @@ from webstrata.session import work_path
 def page_links(pages: DataFrame) -> DataFrame:
     """``page_id, url, link`` of every followable link, canonical, repeats kept."""
     wanted = drop_unwanted_href(clickable_elements(pages)).where(F.col("href").isNotNull())
-    return wanted.select("page_id", "url", canonical_url("href_abs").alias("link")).where(
-        F.col("link").isNotNull())
+    links = settle(wanted, link=canonical_url("href_abs"))
+    return links.where(F.col("link").isNotNull()).select("page_id", "url", "link")
 
 
 def next_frontier(pages: DataFrame, seed_hosts: DataFrame, visited: DataFrame,
@@ -34,35 +34,55 @@ def next_frontier(pages: DataFrame, seed_hosts: DataFrame, visited: DataFrame,
                         F.array().cast("array<string>").alias("click_path"))
 
 
-def _wave(links: DataFrame, visited: DataFrame, wave: DataFrame) -> DataFrame:
-    targets = links.join(wave.withColumnRenamed("node", "src"), "src", "left_semi")
-    return unvisited(targets.select(F.col("dst").alias("node")), visited, "node")
+# A wave below this size is thin: job start-up outweighs its work, so the next job
+# takes several hops.
+THIN_WAVE = 100_000
+MAX_HOPS = 8
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, scope: DataFrame | None = None,
-              max_waves: int | None = None) -> DataFrame:
+def _hops(links: DataFrame, wave: DataFrame, visited: DataFrame, hops: int) -> DataFrame:
+    """``node, hop`` of the unvisited nodes within ``hops`` steps of the wave."""
+    levels, level = [], wave.select("node")
+    for hop in range(1, hops + 1):
+        targets = links.join(level.withColumnRenamed("node", "src"), "src", "left_semi")
+        level = unvisited(targets.select(F.col("dst").alias("node")), visited, "node")
+        levels.append(level.withColumn("hop", F.lit(hop)))
+    if hops == 1:
+        return levels[0]
+    found = levels[0]
+    for other in levels[1:]:
+        found = found.union(other)
+    return found.groupBy("node").agg(F.min("hop").alias("hop"))
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Nodes reachable from ``seeds(node)`` over ``edges(src, dst)``, seeds included.
 
-    Each wave is written to the shared folder, so neither lineage nor recomputation
-    grows with the number of waves. ``scope(node)`` limits where edges may lead.
+    Each wave is written to the shared folder, so neither lineage nor recomputation grows
+    with the number of waves, and a lost executor costs no earlier wave. ``scope(node)``
+    limits where edges may lead.
     """
     spark = edges.sparkSession
     folder = work_path(spark, "reachable")
-    links = edges.select("src", "dst")
+    links = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
     if scope is not None:
-        links = links.join(scope.select(F.col("node").alias("dst")).distinct(), "dst",
-                           "left_semi").select("src", "dst")
-    linked = f"{folder}-edges"
-    links.where(F.col("src") != F.col("dst")).write.parquet(linked)
-    links = spark.read.parquet(linked)
-    schema = seeds.select("node").schema
-
-    number, wave = 0, seeds.select("node").where(F.col("node").isNotNull()).distinct()
+        allowed = scope.select(F.col("node").alias("dst")).distinct()
+        links = links.join(allowed, "dst", "left_semi").select("src", "dst")
+    links.write.parquet(f"{folder}-edges")
+    links = spark.read.schema(links.schema).parquet(f"{folder}-edges")
+
+    step, hops = 0, 1
+    wave = seeds.select("node").where(F.col("node").isNotNull()).distinct().withColumn(
+        "hop", F.lit(1))
+    schema = wave.schema
     while True:
-        path = f"{folder}/wave={number}"
+        path = f"{folder}/step={step}"
         wave.write.parquet(path)
         written = spark.read.schema(schema).parquet(path)
-        visited = spark.read.schema(schema).parquet(f"{folder}/*")
-        if written.isEmpty() or number == max_waves:
+        visited = spark.read.schema(schema).parquet(f"{folder}/*").select("node")
+        last = written.where(F.col("hop") == hops)
+        size = last.count()
+        if size == 0:
             return visited
-        number, wave = number + 1, _wave(links, visited, written)
+        hops = min(2 * hops, MAX_HOPS) if size < THIN_WAVE else 1
+        step, wave = step + 1, _hops(links, last, visited, hops)

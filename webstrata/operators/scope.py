@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.functions.urls import as_column, host_suffixes, url_host, url_scheme
+from webstrata.functions.urls import as_column, host_suffixes, settle, url_host, url_scheme
 from webstrata.operators.filters import external_scope
 from webstrata.operators.skew import salted_lookup
 from webstrata.options import CaptureOptions
@@ -69,7 +69,7 @@ def in_scope(df: DataFrame, seed_hosts: DataFrame, opts: CaptureOptions,
 
     Seeds come first: exclude patterns only concern hosts an include pattern admitted.
     """
-    parts = df.withColumns({"_host": url_host(url), "_scheme": url_scheme(url)})
+    parts = settle(df, _host=url_host(url), _scheme=url_scheme(url))
     matched = with_seed_match(parts, seed_hosts, opts.include_seed_subdomains, "_host",
                               "_seed_match", inline)
     web = F.col("_scheme").startswith("http") & (
