@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from webstrata.functions.urls import CANONICAL_URL_SQL
+from webstrata.functions.urls import CANONICAL_URL_SQL, let
 
+_PAGE_KEY = "concat(method, '_', " + CANONICAL_URL_SQL + ")"
+_BODY_DIGESTS = let(
+    "translate(base64(coalesce(body, X'')), '\\r\\n', '')", "b",
+    "concat('_', md5(b), '_', sha1(b))")
+_REQUEST_KEY = let(_PAGE_KEY, "k", f"""concat(
+    md5(k), '_', sha1(k),
+    CASE WHEN method IN ('POST', 'PUT') THEN {_BODY_DIGESTS} ELSE '' END)""")
+
+# Bodies are self-contained: session functions that call each other do not survive the
+# optimizer when a query uses several of them.
 _SQL_FUNCTIONS = {
     "canonical_url(url STRING)": CANONICAL_URL_SQL,
     "url_host(url STRING)": "try_parse_url(url, 'HOST')",
     "url_scheme(url STRING)": "try_parse_url(url, 'PROTOCOL')",
-    "page_key(method STRING, uri STRING)": "concat(method, '_', canonical_url(uri))",
-    "request_key(method STRING, uri STRING, body BINARY)": """
-        concat(md5(page_key(method, uri)), '_', sha1(page_key(method, uri)),
-               CASE WHEN method IN ('POST', 'PUT') THEN concat(
-                   '_', md5(translate(base64(coalesce(body, X'')), '\\r\\n', '')),
-                   '_', sha1(translate(base64(coalesce(body, X'')), '\\r\\n', '')))
-               ELSE '' END)""",
+    "page_key(method STRING, url STRING)": _PAGE_KEY,
+    "request_key(method STRING, url STRING, body BINARY)": _REQUEST_KEY,
 }
 
 

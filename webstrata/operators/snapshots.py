@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.operators.ordered import lay_out, previous_in_group
+from webstrata.session import cut_lineage
 
 
 def first_stable(snapshots: DataFrame, key: str = "key", order: str = "seq",
@@ -19,7 +20,8 @@ def first_stable(snapshots: DataFrame, key: str = "key", order: str = "seq",
     digests = snapshots.select(
         F.col(key).alias("key"), F.col(order).alias("seq"), "ts",
         F.sha2(F.col(payload).cast("binary"), 256).alias("digest"))
-    laid = lay_out(digests, ["key"], ["seq"])
+    # Materialised first: the range layout samples its input, and payloads are costly to read.
+    laid = lay_out(cut_lineage(digests), ["key"], ["seq"])
     pairs = previous_in_group(laid, ["key"], ["seq"], "digest", "previous")
     repeated = F.when(F.col("digest") == F.col("previous"), F.struct("seq", "ts"))
     per_key = pairs.groupBy("key").agg(F.min(F.struct("seq", "ts")).alias("first"),

@@ -87,7 +87,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements with their 0-based number on the page, from their address."""
-    number = F.split("path", ">")[4].cast("int")
+    number = F.get(F.split("path", ">"), F.lit(4)).try_cast("int")
     return elements(spark, sf_dir).withColumn("k", number)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions.headers import content_type
 from webstrata.functions.urls import surt_key
+from webstrata.session import cut_lineage
 
 HEADER_LINE = " CDX N b a m s k r M S V g"
 FIELDS = ("urlkey", "ts", "url", "mime", "status", "digest", "redirect", "meta", "length",
@@ -40,9 +41,12 @@ def cdx_index(records: DataFrame) -> DataFrame:
 def write_cdx(cdx: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Sorted text lines; the header is the first line of the first part file.
 
-    The parts in name order form one valid index: the header sorts before any key.
+    The parts in name order form one valid index: the header sorts before any key. The
+    rows are materialised before sorting, which samples its input: otherwise the archive
+    would be read twice.
     """
     spark = cdx.sparkSession
+    cdx = cut_lineage(cdx)
     header = spark.range(1).select(F.lit("").alias("urlkey"), F.lit("").alias("ts"),
                                    F.lit(HEADER_LINE).alias("line"))
     lines = cdx.select("urlkey", "ts", F.concat_ws(" ", *[F.col(f).cast("string")

@@ -21,10 +21,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _write(responses: DataFrame, path: str, mode: str) -> None:
-    """Keys are evenly spread digests, so a range of keys is one directory or two per task."""
+    """Rebalanced by prefix: AQE splits large prefixes and merges small ones, so that files
+    get the advised partition size. Prefixes of digests are evenly filled."""
     keyed = responses.withColumn("key_prefix", F.substring("request_key", 1, 2))
-    (keyed.repartitionByRange("key_prefix", "request_key")
-     .sortWithinPartitions("key_prefix", "request_key")
+    (keyed.hint("rebalance", "key_prefix").sortWithinPartitions("key_prefix", "request_key")
      .write.mode(mode).partitionBy("key_prefix").parquet(path))
 
 

@@ -129,7 +129,9 @@ class WarcWriter(DataSourceArrowWriter):
         moves, stream, size = [], None, 0
         try:
             for batch in iterator:
-                for call in batch.to_pylist():
+                for at in range(batch.num_rows):
+                    # One call at a time: bodies are large.
+                    call = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
                     if call["status"] is None:
                         continue
                     if stream is None or size >= self.shard_bytes:
