@@ -16,22 +16,22 @@ from webstrata.options import CaptureOptions
 ELEMENT_COLUMNS = ("page_id", "url", "pos", "tag", "path", "href", "href_abs", "source")
 
 
-def _elements(pages: DataFrame, wanted, mentioning: str, source: str) -> DataFrame:
-    """Elements whose start tag is ``wanted``, with links resolved.
+def _elements(pages: DataFrame, wanted: str, mentioning: str, source: str) -> DataFrame:
+    """Elements whose start tag ``t`` meets the SQL condition ``wanted``, links resolved.
 
     Each step is a projection of its own, so that no costly expression is repeated.
     """
+    has_href = f"exists(t.attributes, a -> {markup.named('a', 'href')})"
+    base = f"try_element_at(filter(tags, t -> t.name = 'base' AND {has_href}), 1)"
     tags = pages.select("page_id", "url", markup.start_tags(
         F.col("html"), rf"{mentioning}|^<base[\s/]").alias("tags"))
-    bases = F.filter("tags", lambda t: t.rlike(r"(?i)^<base[\s/]")
-                     & markup.has_attribute(t, "href"))
-    based = tags.withColumn("base_tag", F.try_element_at(bases, F.lit(1))).withColumn(
-        "base_raw", markup.raw_attribute(F.col("base_tag"), "href"))
-    found = based.select("page_id", "url", "base_raw",
-                         F.posexplode(F.filter("tags", wanted)).alias("pos", "element"))
-    raw = found.select("page_id", "url", "base_raw", "pos",
-                       markup.tag_name(F.col("element")).alias("tag"),
-                       markup.raw_attribute(F.col("element"), "href").alias("raw_href"))
+    found = tags.select(
+        "page_id", "url", F.expr(f"{base}.attributes").alias("base"),
+        F.posexplode(F.expr(f"filter(tags, t -> {wanted})")).alias("pos", "element"))
+    raw = found.select(
+        "page_id", "url", "pos", F.col("element.name").alias("tag"),
+        F.expr(markup.raw_value("base", "href")).alias("base_raw"),
+        F.expr(markup.raw_value("element.attributes", "href")).alias("raw_href"))
     return _resolved(raw).select(
         "page_id", "url", "pos", "tag", F.lit(None).cast("string").alias("path"), "href",
         "href_abs", F.lit(source).alias("source"))
@@ -46,17 +46,14 @@ def _resolved(raw: DataFrame) -> DataFrame:
 
 def clickable_elements(pages: DataFrame) -> DataFrame:
     """Every element but ``link`` that has an ``onclick`` or ``href`` attribute."""
-    def wanted(tag: Column) -> Column:
-        return markup.has_attribute(tag, "onclick", "href") & (markup.tag_name(tag) != "link")
-
-    return _elements(pages, wanted, "onclick|href", "attribute")
+    return _elements(pages, "t.name != 'link' AND exists(t.attributes, a -> "
+                     f"{markup.named('a', 'onclick', 'href')})", "onclick|href", "attribute")
 
 
 def submit_elements(pages: DataFrame, opts: CaptureOptions) -> DataFrame:
     """Elements whose ``type`` is exactly ``submit``; none unless forms are submitted."""
-    found = _elements(
-        pages, lambda tag: F.coalesce(markup.raw_attribute(tag, "type") == "submit",
-                                      F.lit(False)), "submit", "submit")
+    found = _elements(pages, markup.raw_value("t.attributes", "type") + " = 'submit'",
+                      "submit", "submit")
     return found if opts.submit_forms else found.where(F.lit(False))
 
 

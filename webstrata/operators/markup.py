@@ -18,9 +18,12 @@ from webstrata.functions.urls import apply_sql, let
 RAW_TEXT_TAGS = ("script", "style", "xmp", "iframe", "noembed", "noframes", "noscript",
                  "textarea", "title")
 
-ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+"""
-START_TAG = rf"<([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>"
-ATTRIBUTE = r"""[^\s>/=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+# \x22 and \x27 are the quotes.
+ATTRIBUTES = (r"(?:[^>=]++|=\s*+(?:\x22[^\x22]*+\x22|\x27[^\x27]*+\x27"
+              r"|[^\s>\x22\x27][^\s>]*+|(?=>)))*+")
+ATTRIBUTE = (r"[^\s>/=][^\s/>=]*+(?:\s*+=\s*+(?:\x22[^\x22]*+\x22|\x27[^\x27]*+\x27"
+             r"|[^\s>\x22\x27][^\s>]*+)?+)?+")
+START_TAG = rf"(?s)^<[a-zA-Z][^\s/>]*+{ATTRIBUTES}>"
 _RAW = "|".join(RAW_TEXT_TAGS)
 MARKUP = (rf"(?is)<!--.*?(?:-->|\z)"
           rf"|<({_RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1(?=[\s/>])|\z)"
@@ -30,39 +33,35 @@ _REFERENCE = r"(?s)^&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def start_tags(html_text: Column, mentioning: str) -> Column:
-    """Start tags that mention a pattern, in document order; no comments, no raw text."""
-    tokens = F.regexp_extract_all(html_text, F.lit(MARKUP), 0)
-    tags = F.filter(tokens, lambda t: t.rlike(f"(?i){mentioning}") & ~t.startswith("<!--"))
-    return F.transform(tags, lambda t: F.regexp_extract(t, f"(?s)^{START_TAG}", 0))
-
-
-def tag_name(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, r"^<([^\s/>]+)", 1))
-
-
-def _attributes(tag: Column) -> Column:
-    inside = F.regexp_extract(tag, r"(?s)^<[^\s/>]+(.*)>$", 1)
-    return F.regexp_extract_all(inside, F.lit(ATTRIBUTE), 0)
-
+    """Start tags that mention a pattern, in document order; no comments, no raw text.
 
-def _attribute_name(attribute: Column) -> Column:
-    return F.lower(F.regexp_extract(attribute, r"^([^\s=]+)", 1))
-
-
-def raw_attribute(tag: Column, name: str) -> Column:
-    """Undecoded value of the first such attribute; empty if valueless, NULL if absent."""
-    matching = F.filter(_attributes(tag), lambda a: _attribute_name(a) == name)
-    first = F.try_element_at(matching, F.lit(1))
-    return apply_sql(
-        F.regexp_replace(first, r"(?s)^[^=]*+(?:=\s*+)?+", ""), "value",
-        r"""CASE WHEN value RLIKE r'(?s)^["\x27].*["\x27]$'
-                 THEN substr(value, 2, length(value) - 2) ELSE value END""")
-
-
-def has_attribute(tag: Column, *names: str) -> Column:
-    pattern = "(?i)" + "|".join(names)
-    return tag.rlike(pattern) & F.exists(
-        _attributes(tag), lambda a: _attribute_name(a).isin(*names))
+    ``ARRAY<STRUCT<tag, name, attributes>>``, the attributes as written.
+    """
+    tokens = F.regexp_extract_all(html_text, F.lit(MARKUP), 0)
+    return apply_sql(tokens, "tokens", rf"""transform(transform(
+        filter(tokens, k -> k RLIKE r'(?i){mentioning}' AND NOT startswith(k, '<!--')),
+        k -> regexp_extract(k, r'{START_TAG}', 0)),
+        t -> named_struct(
+          'tag', t, 'name', lower(regexp_extract(t, r'^<([^\s/>]+)', 1)),
+          'attributes', regexp_extract_all(
+              regexp_extract(t, r'(?s)^<[^\s/>]+(.*)>$', 1), r'{ATTRIBUTE}', 0)))""")
+
+
+def named(attribute: str, *names: str) -> str:
+    """SQL condition: an attribute, as written, has one of the names."""
+    return (f"lower(regexp_extract({attribute}, r'^([^\\s=]+)', 1)) IN ("
+            + ", ".join(f"'{name}'" for name in names) + ")")
+
+
+def raw_value(attributes: str, name: str) -> str:
+    """SQL text: undecoded value of the first such attribute.
+
+    Empty if it has no value, NULL if there is none.
+    """
+    first = f"try_element_at(filter({attributes}, a -> {named('a', name)}), 1)"
+    return let(rf"regexp_replace({first}, r'(?s)^[^=]*+(?:=\s*+)?+', '')", "v",
+               r"""CASE WHEN v RLIKE r'(?s)^[\x22\x27].*[\x22\x27]$'
+                        THEN substr(v, 2, length(v) - 2) ELSE v END""")
 
 
 _CHARACTER_SQL = let(
