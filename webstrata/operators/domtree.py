@@ -98,11 +98,18 @@ class _Tree:
                 return
 
     def reopen_formatting(self) -> None:
+        if not self.formatting:
+            return
         opened = {path for _, path in self.open}
         for at, (tag, path, attrs) in enumerate(self.formatting):
             if path not in opened:
                 self.formatting[at] = (tag, self.add(tag, attrs), attrs)
 
+    def characters(self, text: str) -> None:
+        if text and (not self.in_head or text.strip()):
+            self.enter_body()
+            self.reopen_formatting()
+
     def start(self, tag: str, attrs: tuple, closed: bool) -> None:
         if tag in ("html", "head", "body"):
             self.merge(("html", "head", "body").index(tag), attrs)
@@ -201,10 +208,7 @@ def page_elements(text: str) -> list[list]:
     """
     tree, at, foreign = _Tree(), 0, 0
     for token in _TOKEN.finditer(text):
-        if token.start() > at and (not tree.in_head or text[at:token.start()].strip()):
-            tree.enter_body()
-            if tree.formatting:
-                tree.reopen_formatting()
+        tree.characters(text[at:token.start()])
         at = token.end()
         tag = token.group("raw") or token.group("tag")
         if tag is not None:
@@ -220,6 +224,7 @@ def page_elements(text: str) -> list[list]:
             if tag in ("svg", "math") and foreign:
                 foreign -= 1
             tree.end(tag)
+    tree.characters(text[at:])
     head = [element for element in tree.found[3:] if element[1].startswith("0>0>")]
     body = [element for element in tree.found[3:] if not element[1].startswith("0>0>")]
     return [*tree.found[:2], *head, tree.found[2], *body]
