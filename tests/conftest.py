@@ -11,7 +11,8 @@ from webstrata.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[8]", {
-        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g"})
     session.sparkContext.setLogLevel("OFF")
     yield session

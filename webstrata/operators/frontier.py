@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions.urls import canonical_url, settle, url_host
@@ -40,11 +40,21 @@ THIN_WAVE = 100_000
 MAX_HOPS = 8
 
 
+# Edges are laid out by a hash of their source: a wave that touches few of these
+# directories reads no others (dynamic partition pruning).
+BUCKETS = 32
+
+
+def _bucket(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(BUCKETS)).cast("int")
+
+
 def _hops(links: DataFrame, wave: DataFrame, visited: DataFrame, hops: int) -> DataFrame:
     """``node, hop`` of the unvisited nodes within ``hops`` steps of the wave."""
     levels, level = [], wave.select("node")
     for hop in range(1, hops + 1):
-        targets = links.join(level.withColumnRenamed("node", "src"), "src", "left_semi")
+        sources = level.select(_bucket("node").alias("bucket"), F.col("node").alias("src"))
+        targets = links.join(sources, ["bucket", "src"], "left_semi")
         level = unvisited(targets.select(F.col("dst").alias("node")), visited, "node")
         levels.append(level.withColumn("hop", F.lit(hop)))
     if hops == 1:
@@ -68,7 +78,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, scope: DataFrame | None = None
     if scope is not None:
         allowed = scope.select(F.col("node").alias("dst")).distinct()
         links = links.join(allowed, "dst", "left_semi").select("src", "dst")
-    links.write.parquet(f"{folder}-edges")
+    links = links.withColumn("bucket", _bucket("src"))
+    links.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}-edges")
     links = spark.read.schema(links.schema).parquet(f"{folder}-edges")
 
     step, hops = 0, 1

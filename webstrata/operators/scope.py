@@ -9,6 +9,7 @@ from webstrata.functions.urls import as_column, host_suffixes, settle, url_host,
 from webstrata.operators.filters import external_scope
 from webstrata.operators.skew import salted_lookup
 from webstrata.options import CaptureOptions
+from webstrata.session import cut_lineage
 
 # Up to this many seed hosts travel inside the plan; more are joined.
 SEED_HOSTS_INLINE = 10_000
@@ -43,6 +44,7 @@ def with_seed_match(df: DataFrame, seed_hosts: DataFrame, subdomains: bool,
     seeds = _inline_hosts(seed_hosts) if inline is None or inline else None
     if seeds is not None:
         return df.withColumn(name, matches_seed(host, seeds, subdomains))
+    df = cut_lineage(df)  # read several times below; what made it may be costly
     hosts = df.select(F.col(host).alias("_host")).where(F.col("_host").isNotNull()).distinct()
     keys = host_suffixes("_host") if subdomains else F.array("_host")
     suffixes = hosts.select("_host", F.explode(keys).alias("_suffix"))

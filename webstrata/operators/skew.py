@@ -13,10 +13,11 @@ HOT_SALTS = 64
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys owning more than 1/HOT_SHARE of the rows: below HOT_SHARE rows, always.
 
-    Counted on the key column alone, with map-side partial sums.
+    Counted on the key column alone, with map-side partial sums; the total is summed from
+    the same counts.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("_n")).scalar()
     return counts.where((F.col("_n") > 1) & (F.col("_n") * HOT_SHARE > total)).select(key)
 
 

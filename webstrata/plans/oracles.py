@@ -50,7 +50,7 @@ links AS (
 _SEEDS = """
 seed_hosts AS (
   SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS seed
-  FROM pages WHERE regexp_matches(url, '^https://[^/]+/en/')),
+  FROM pages WHERE regexp_matches(url, '^http://[^/]+/es/')),
 hosts AS (
   SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)"""
 
@@ -332,7 +332,7 @@ edges AS (
                   first_value(page_id) OVER (PARTITION BY host ORDER BY page_id)) AS dst
   FROM hosts),
 reached(node) AS (
-  SELECT page_id FROM pages WHERE regexp_matches(url, '^https://[^/]+/en/')
+  SELECT page_id FROM pages WHERE regexp_matches(url, '^http://[^/]+/es/')
   UNION
   SELECT dst FROM reached JOIN edges ON src = node)
 SELECT node FROM reached""",

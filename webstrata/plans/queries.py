@@ -506,7 +506,7 @@ def i3_next_frontier(spark, sf_dir):
 
 @query
 def i4_reachable(spark, sf_dir):
-    starts = t.pages(spark, sf_dir).where(F.col("url").rlike("^https://[^/]+/en/")).select(
+    starts = t.pages(spark, sf_dir).where(F.col("url").rlike("^http://[^/]+/es/")).select(
         F.col("page_id").alias("node"))
     return frontier.reachable(t.edges(spark, sf_dir), starts)
 

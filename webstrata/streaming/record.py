@@ -18,8 +18,11 @@ LOG_SCHEMA = f"request_key string, {CALL_SCHEMA}, batch_id bigint"
 
 
 def _record_batch(batch: DataFrame, batch_id: int, path: str, sinks: Iterable[CallSink],
-                  opts: CaptureOptions) -> None:
+                  opts: CaptureOptions, stateful: bool = False) -> None:
     spark = batch.sparkSession
+    if stateful:
+        # The state store may pick another repeat when asked again: settle its choice.
+        batch = cut_lineage(batch)
     folder = f"{path}/batch_id={batch_id}"
     winners = cut_lineage(first_calls(batch))
     # A replayed batch must not meet its own earlier output.
@@ -61,4 +64,5 @@ def stream_record(calls: DataFrame, path: str, sinks: Iterable[CallSink] = (),
         calls = (keyed.withWatermark("ts", watermark)
                  .dropDuplicatesWithinWatermark(["request_key"]).drop("request_key"))
     return calls.writeStream.foreachBatch(
-        lambda batch, batch_id: _record_batch(batch, batch_id, path, sinks, opts))
+        lambda batch, batch_id: _record_batch(batch, batch_id, path, sinks, opts,
+                                              watermark is not None))
