@@ -40,8 +40,8 @@ THIN_WAVE = 100_000
 MAX_HOPS = 8
 
 
-# Edges are laid out by a hash of their source: a wave that touches few of these
-# directories reads no others (dynamic partition pruning).
+# Edges are laid out by a hash of their source: the first hop of a wave that touches few
+# of these directories reads no others (dynamic partition pruning).
 BUCKETS = 32
 
 
@@ -53,8 +53,12 @@ def _hops(links: DataFrame, wave: DataFrame, visited: DataFrame, hops: int) -> D
     """``node, hop`` of the unvisited nodes within ``hops`` steps of the wave."""
     levels, level = [], wave.select("node")
     for hop in range(1, hops + 1):
-        sources = level.select(_bucket("node").alias("bucket"), F.col("node").alias("src"))
-        targets = links.join(sources, ["bucket", "src"], "left_semi")
+        sources = level.select(F.col("node").alias("src"))
+        on = ["src"]
+        if hop == 1:
+            # Later hops would each plan their predecessors twice.
+            sources, on = sources.withColumn("bucket", _bucket("src")), ["bucket", "src"]
+        targets = links.join(sources, on, "left_semi")
         level = unvisited(targets.select(F.col("dst").alias("node")), visited, "node")
         levels.append(level.withColumn("hop", F.lit(hop)))
     if hops == 1:
