@@ -43,6 +43,14 @@ def test_bodies_join_by_call_id_without_sorting(calls):
     assert len(moved) == 1 and "hashpartitioning(call_id" in moved[0]
 
 
+def test_stored_requests_are_dropped_before_bodies_move(calls):
+    stored = dedup.with_request_key(calls).select("request_key")
+    text = plan(dedup.dedup_calls(calls, stored))
+    moved = [block for block in re.split(r"\n\n", text)
+             if " Exchange\n" in block and "resp_body" in block]
+    assert len(moved) == 1 and "LeftAnti" in text
+
+
 def test_filters_reach_the_scan(calls):
     text = plan(filters.recordable(calls).select("call_id", "status"))
     assert "PushedFilters: [IsNotNull(status)]" in text

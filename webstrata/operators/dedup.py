@@ -27,14 +27,16 @@ def first_calls(calls: DataFrame) -> DataFrame:
     return first.select("request_key", F.col("first.call_id").alias("call_id"))
 
 
-def dedup_calls(calls: DataFrame) -> DataFrame:
+def dedup_calls(calls: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The first recordable call of each request, with its ``request_key``.
 
-    Bodies move once, by the unique ``call_id`` and hence evenly; the hash join spares
-    sorting them.
+    Requests whose key is in ``stored`` are left out. Bodies move once, by the unique
+    ``call_id`` and hence evenly; the hash join spares sorting them.
     """
-    winners = first_calls(calls).hint("shuffle_hash")
-    return calls.join(winners, "call_id")
+    winners = first_calls(calls)
+    if stored is not None:
+        winners = winners.join(stored.select("request_key"), "request_key", "left_anti")
+    return calls.join(winners.hint("shuffle_hash"), "call_id")
 
 
 def unvisited(candidates: DataFrame, visited: DataFrame, key: str = "url") -> DataFrame:

@@ -20,7 +20,8 @@ def index_fields(url: Column, ts: Column, status: Column, headers: Column) -> li
     moved = F.filter(headers, lambda h: F.lower(h["name"]) == "location")
     location = F.when(status.between(300, 399), F.try_element_at(moved, F.lit(1))["value"])
     return [
-        surt_key(url).alias("urlkey"), F.date_format(ts, "yyyyMMddHHmmss").alias("ts"),
+        surt_key(url).alias("urlkey"), F.date_format(
+            F.to_utc_timestamp(ts, F.current_timezone()), "yyyyMMddHHmmss").alias("ts"),
         url.alias("url"),
         F.coalesce(F.when(mime != "", F.replace(mime, F.lit(" "), F.lit("%20"))), F.lit("-")
                    ).alias("mime"),

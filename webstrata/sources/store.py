@@ -35,13 +35,11 @@ def save_responses(calls: DataFrame, path: str, clear: bool = True) -> None:
     they are, and only new ones are added.
     """
     spark = calls.sparkSession
-    first = dedup_calls(calls).select(*STORE_COLUMNS)
     if clear or not _exists(spark, path):
-        _write(first, path, "overwrite")
+        _write(dedup_calls(calls).select(*STORE_COLUMNS), path, "overwrite")
     else:
-        held = read_responses(spark, path).select("request_key")
-        _write(first.join(held, "request_key", "left_anti").select(*STORE_COLUMNS), path,
-               "append")
+        held = read_responses(spark, path)
+        _write(dedup_calls(calls, held).select(*STORE_COLUMNS), path, "append")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
