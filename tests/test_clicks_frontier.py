@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from webstrata.operators import clicks, filters, frontier
 from webstrata.options import CaptureOptions
