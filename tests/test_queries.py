@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from webstrata.plans.oracles import ORACLES
+from webstrata.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -24,13 +26,15 @@ def _rows(columns, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    result = duck.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    result = duck.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     want = _rows(columns, result.fetchall())
