@@ -65,6 +65,12 @@ def in_cells(df: DataFrame, key: list[str], spread: str, block: int) -> DataFram
             .withColumn("_right", F.greatest("_block", "_mate")).drop("_mate", "_blocks"))
 
 
+def _print(pairs: DataFrame) -> tuple:
+    """Count and hash sum of a set of pairs."""
+    return pairs.agg(F.count("*"),
+                     F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest id reachable from each id of ``edges`` (a, b): rows (id, component_id).
 
@@ -72,7 +78,6 @@ def components(edges: DataFrame) -> DataFrame:
     and they end when no edge changes. Stars need a map-side minimum per id only, so ids with
     very many edges do no harm.
     """
-    spark = edges.sparkSession
     pairs = cut_lineage(edges.select(F.col("a").cast("bigint").alias("a"),
                                      F.col("b").cast("bigint").alias("b"))
                         .where("a <> b").select(F.greatest("a", "b").alias("a"),
@@ -90,13 +95,10 @@ def components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")
         ).where("a <> b")
         after = cut_lineage(small.distinct())
-        print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast(
-            "decimal(38,0)"))).first()
-        done = print_of(after) == print_of(pairs)
+        done = _print(after) == _print(pairs)
         pairs = after
         if done:
             break
-    del spark
     centres = pairs.groupBy("a").agg(F.min("b").alias("b"))
     return centres.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(
         centres.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm.archive import read_archive, write_archive
+from webstrata.llm.minhash import link
 from webstrata.llm.packing import pack
 from webstrata.llm.quality import STOP_WORDS, apply_rules
 from webstrata.llm.substrings import remove_repeats
@@ -24,6 +25,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -51,6 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_token_files": op9_token_files,
@@ -77,6 +83,30 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words,
        (SELECT count(*) FROM c WHERE c.doc_id = d.doc_id)::BIGINT AS n_removed,
        sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)""",
+    "op4_minhash_dedup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, words[i] || ' ' || words[i + 1] AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM d)
+  UNION SELECT doc_id, words[1] FROM d WHERE len(words) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+walk AS (
+  SELECT doc_id AS id, doc_id AS seen FROM documents
+  UNION SELECT walk.id, ends.b FROM walk JOIN ends ON ends.a = walk.seen)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id,
+       c.component_id = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT id AS doc_id, min(seen) AS component_id FROM walk GROUP BY id) c USING (doc_id)""",
     "op7_quality_rules": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body, {_WORDS} AS words FROM documents),
 w AS (
