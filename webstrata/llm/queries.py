@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm.archive import read_archive, write_archive
+from webstrata.llm.embeddings import link_vectors
 from webstrata.llm.minhash import link
 from webstrata.llm.packing import pack
 from webstrata.llm.quality import STOP_WORDS, apply_rules
@@ -25,6 +26,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
@@ -56,6 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
@@ -83,6 +89,22 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words,
        (SELECT count(*) FROM c WHERE c.doc_id = d.doc_id)::BIGINT AS n_removed,
        sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)""",
+    "op3_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+walk AS (
+  SELECT vec_id AS id, vec_id AS seen FROM embeddings
+  UNION SELECT walk.id, e.b FROM walk JOIN e ON e.a = walk.seen)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = m.vec_id)::BIGINT AS n_links, component_id,
+       component_id = vec_id AS kept
+FROM (SELECT id AS vec_id, min(seen) AS component_id FROM walk GROUP BY id) m""",
     "op4_minhash_dedup": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
