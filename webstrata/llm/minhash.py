@@ -7,10 +7,10 @@ and bit counts, and the similarity follows after correcting for chance collision
 that the estimate does not rule out, six deviations below the threshold, are confirmed on their
 full shingle sets.
 
-Texts with equal sets form one class, and only its smallest id goes on. Within a bucket no
-pairs are listed at first: each class is tried with the bucket's smallest id, then with its best
-match outside its component, and at last with whatever is left outside its component. Large
-buckets are cut into blocks.
+Texts with equal sets form one class, and only its smallest id goes on. No pairs
+of a bucket are listed: each class is first tried with the smallest id it shares a bucket with.
+Classes that may still link outside their component then meet in their bucket, in blocks, with
+their full sets; a block returns one edge per class to what it links with there.
 
 A null or empty text has no shingles and links with nothing; a text with fewer words than a
 shingle is one shingle. A row without doc_id links with nothing and stays. Rows that share a
@@ -35,7 +35,7 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 24, 4
 BITS = 4
-BLOCK = 1024
+BLOCK = 256
 CHUNK_BYTES = 1 << 20
 _HASHES = BANDS * ROWS
 _PLANE_BYTES = -(-_HASHES // 64) * 8
@@ -174,39 +174,91 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _outside(members: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs of a bucket in different components that the estimate does not rule out."""
-    least = least_estimate(percent)
+def _open_pairs(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a cell with later rows of other components that the estimate does not rule out.
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, parts, sizes, blocks = (table.column(c).to_numpy()
-                                     for c in ("id", "component", "n", "_block"))
-        words = np.frombuffer(b"".join(table.column("planes").to_pylist()), np.uint64).reshape(
-            len(ids), BITS, -1)
-        same_cell = table.column("_left")[0].as_py() == table.column("_right")[0].as_py()
-        left = [np.empty(0, np.int64)]
-        right = [np.empty(0, np.int64)]
-        for row in range(len(ids)):
-            fits = (parts != parts[row]) & (100 * np.minimum(sizes, sizes[row])
-                                            >= percent * np.maximum(sizes, sizes[row]))
-            if not same_cell:
-                fits &= blocks != blocks[row]
-            if not best_only:
-                fits &= ids > ids[row]
-            others = np.flatnonzero(fits)
-            if not len(others):
-                continue
-            alike = estimate(words[row], words[others])
-            found = others[alike >= least]
-            if best_only and len(found):
-                found = others[[int(np.argmax(alike))]]
-            left.append(np.full(len(found), ids[row]))
-            right.append(ids[found])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    cells = in_cells(members, ["h"], "id", BLOCK)
-    return cells.groupBy("h", "_left", "_right").applyInArrow(run, "a bigint, b bigint").distinct()
+    A pair belongs to the first band where its texts meet.
+    """
+    least = least_estimate(percent)
+    parts, sizes, blocks = (table.column(c).to_numpy() for c in ("component", "n", "_block"))
+    band = table.column("band")[0].as_py()
+    words = np.frombuffer(b"".join(table.column("planes").to_pylist()), np.uint64).reshape(
+        len(parts), BITS, -1)
+    earlier = table.column("bands").combine_chunks().flatten().to_numpy().reshape(
+        len(parts), -1)[:, :band]
+    same_cell = table.column("_left")[0].as_py() == table.column("_right")[0].as_py()
+    for row in range(len(parts) - 1):
+        fits = (parts[row + 1:] != parts[row]) & (
+            100 * np.minimum(sizes[row + 1:], sizes[row])
+            >= percent * np.maximum(sizes[row + 1:], sizes[row]))
+        if not same_cell:
+            fits &= blocks[row + 1:] != blocks[row]
+        others = np.flatnonzero(fits) + row + 1
+        if len(others):
+            others = others[estimate(words[row], words[others]) >= least]
+            others = others[(earlier[others] != earlier[row]).all(axis=1)]
+        if len(others):
+            yield row, others
+
+
+def _open_rows(table: pa.Table, percent: int) -> pa.Table:
+    """The rows of a cell that have a pair to confirm there."""
+    wanted = np.zeros(table.num_rows, bool)
+    for row, others in _open_pairs(table, percent):
+        wanted[row] = True
+        wanted[others] = True
+    return table.filter(pa.array(wanted))
+
+
+def _settle(table: pa.Table, percent: int) -> pa.Table:
+    """Edges (a, b) that join the members of a cell linked by a confirmed pair."""
+    table = table.combine_chunks()
+    ids = table.column("id").to_numpy()
+    blobs = table.column("shingles").to_pylist()
+    sizes = np.array([len(blob) // 8 for blob in blobs])
+    codes = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    marked = np.zeros(int(codes.max()) + 1, bool)
+    label = np.arange(len(ids))
+    for row, others in _open_pairs(table, percent):
+        others = others[label[others] != label[row]]  # not those joined in this cell meanwhile
+        if not len(others):
+            continue
+        marked[codes[begins[row]:ends[row]]] = True
+        if len(others) * 2 > len(ids):
+            sums = np.concatenate([[0], np.cumsum(marked[codes])])
+            shared = sums[ends[others]] - sums[begins[others]]
+        else:
+            shared = np.array([marked[codes[begins[o]:ends[o]]].sum() for o in others.tolist()])
+        marked[codes[begins[row]:ends[row]]] = False
+        alike = others[100 * shared >= percent * (sizes[row] + sizes[others] - shared)]
+        if len(alike):
+            joined = np.unique(np.append(label[alike], label[row]))
+            label[np.isin(label, joined)] = joined[0]
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return pa.table({"a": ids[moved], "b": ids[label[moved]]})
+
+
+def _links_outside(members: DataFrame, heads: DataFrame, sets: DataFrame, parts: DataFrame,
+                   percent: int) -> DataFrame:
+    """Edges for all confirmed pairs between different components, found bucket by bucket."""
+    placed = members.join(parts, "id", "left").select(
+        "h", "band", "id", F.coalesce("component_id", "id").alias("component"))
+    mixed = placed.groupBy("h", "band").agg(
+        F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("_n"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_s"),
+        F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("_t")).where("_x < _y")
+    # Of buckets with the same members, the first band's holds all their pairs.
+    once = mixed.groupBy("_n", "_s", "_t").agg(F.min(F.struct("band", "h")).alias("_b")).select(
+        "_b.h")
+    cells = in_cells(placed.join(once, "h", "left_semi"), ["h"], "id", BLOCK).join(
+        heads.select("id", "n", "planes", "bands"), "id").select(
+        "h", "_left", "_right", "_block", "band", "id", "component", "n", "planes", "bands")
+    opened = cut_lineage(cells.groupBy("h", "_left", "_right").applyInArrow(
+        lambda table: _open_rows(table, percent), cells.schema))
+    return opened.join(sets, "id").groupBy("h", "_left", "_right").applyInArrow(
+        lambda table: _settle(table, percent), "a bigint, b bigint")
 
 
 def link(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -219,7 +271,7 @@ def link(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) ->
     heads = (sized.join(classes.select("f1", "f2", F.col("class_id").alias("doc_id")),
                         ["doc_id", "f1", "f2"], "left_semi")
              .select(F.col("doc_id").alias("id"), "n", "planes", "bands"))
-    keyed = heads.select("id", F.explode("bands").alias("h"))
+    keyed = heads.select("id", F.posexplode("bands").alias("band", "h"))
     buckets = keyed.groupBy("h").agg(F.count("*").alias("_n"), F.min("id").alias("least")).where(
         "_n > 1").select("h", "least")
     members = cut_lineage(keyed.join(buckets, "h"))
@@ -229,15 +281,8 @@ def link(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) ->
     first = members.where("id <> least").groupBy("id").agg(F.min("least").alias("b")).select(
         F.col("id").alias("a"), "b")
     links = cut_lineage(confirm(first, sets, percent))
-    for best_only in (True, False):
-        parts = components(links)
-        placed = members.select("h", "id").join(parts, "id", "left").select(
-            "h", "id", F.coalesce("component_id", "id").alias("component"))
-        mixed = placed.groupBy("h").agg(F.min("component").alias("_x"), F.max("component").alias(
-            "_y")).where("_x < _y").select("h")
-        open_ = placed.join(mixed, "h", "left_semi").join(heads.select("id", "n", "planes"), "id")
-        pairs = cut_lineage(_outside(open_, percent, best_only))
-        links = cut_lineage(links.union(confirm(pairs, sets, percent)))
+    links = links.union(cut_lineage(_links_outside(
+        members, heads, sets, components(links), percent)))
     # Rows of one doc_id with different sets belong together.
     aliases = sized.join(classes, ["f1", "f2"]).where("doc_id <> class_id").select(
         F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
