@@ -49,7 +49,9 @@ def plan_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     groups = (rows.where(F.col("bytes") >= least).groupBy("digest", "bytes")
               .agg(F.max("page_id").alias("_first"), F.count("*").alias("_copies"))
               .where("_copies > 1").select(F.col("digest").alias("_digest"), "_first"))
-    # The pages side may be skewed by one payload; adaptive execution splits such a side.
+    # Written first, its size is known when the join is planned: Spark broadcasts it below its
+    # threshold and shuffles the pages above it, where adaptive execution splits a hot payload.
+    groups = cut_lineage(groups)
     return rows.join(groups, F.col("digest") == F.col("_digest"), "left").select(
         "page_id", "url", "body", "digest", "bytes",
         F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("revisits"))
