@@ -13,6 +13,7 @@ from webstrata.llm.packing import pack
 from webstrata.llm.quality import STOP_WORDS, apply_rules
 from webstrata.llm.substrings import remove_repeats
 from webstrata.llm.tokenfiles import read_token_files, write_token_files
+from webstrata.llm.toxicity import fit, held_out, score
 from webstrata.session import work_path
 
 
@@ -46,6 +47,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), work_path(spark, "token-files")
     write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -65,6 +73,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
 }
