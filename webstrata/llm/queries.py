@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webstrata.llm import secrets
 from webstrata.llm.archive import read_archive, write_archive
 from webstrata.llm.embeddings import link_vectors
 from webstrata.llm.minhash import link
@@ -35,6 +36,11 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.fit(docs), keep=["doc_id"]).drop("redacted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
