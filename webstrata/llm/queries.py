@@ -12,6 +12,7 @@ from webstrata.llm.embeddings import link_vectors
 from webstrata.llm.minhash import link
 from webstrata.llm.packing import pack
 from webstrata.llm.quality import STOP_WORDS, apply_rules
+from webstrata.llm.sentencepiece import encode_texts
 from webstrata.llm.substrings import remove_repeats
 from webstrata.llm.tokenfiles import read_token_files, write_token_files
 from webstrata.llm.toxicity import fit, held_out, score
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
@@ -74,6 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
