@@ -96,10 +96,10 @@ def _successors(path: str, size: int, start: int, end: int) -> list[tuple[int, i
                 break
             head_at, head = match.start(), data
             close = head.find(b"\r\n\r\n", head_at)
-            step = _HEAD_STEP
-            while close < 0 and offset + step // 2 < size:  # the header runs on past the range
+            step, seen = _HEAD_STEP, start + len(data)
+            while close < 0 and seen < size:  # the header runs on past what was read
                 head, head_at = stream.read_at(min(step, size - offset), offset), 0
-                close, step = head.find(b"\r\n\r\n"), step * 2
+                close, step, seen = head.find(b"\r\n\r\n"), step * 2, offset + len(head)
             length = _LENGTH.search(head, head_at, close + 2) if close >= 0 else None
             if length:
                 nexts[offset] = offset + close + 4 - head_at + int(length[1]) + 4
