@@ -41,9 +41,9 @@ class Rule:
 RULES = (
     Rule("words", "n_words", least=20, base=True),
     Rule("repeats", "100 * n_repeat_words - 30 * n_words", most=0, base=True),
-    Rule("word_length", "word_chars / n_words", least=2, most=14),
-    Rule("symbols", "n_symbols / n_words", most=0.3),
-    Rule("stop_words", "n_stop_words / n_words", least=0.01),
+    Rule("word_length", "word_chars / nullif(n_words, 0)", least=2, most=14),
+    Rule("symbols", "n_symbols / nullif(n_words, 0)", most=0.3),
+    Rule("stop_words", "n_stop_words / nullif(n_words, 0)", least=0.01),
     Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", most=0.5),
 )
 
