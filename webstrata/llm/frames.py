@@ -47,16 +47,21 @@ def text_total(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(column)).cast("bigint"))).first()[0] or 0)
 
 
-def in_cells(df: DataFrame, key: list[str], spread: str, block: int) -> DataFrame:
+def in_cells(df: DataFrame, key: list[str], spread: str, block: int, weight: str | None = None,
+             heaviest: int = 1 << 20) -> DataFrame:
     """Deal the rows of each key into cells such that any two of them share a cell.
 
     Keys of up to ``block`` rows have one cell. Larger ones are cut into blocks by a hash of
     ``spread``, with a cell for each two blocks, so no cell holds much over two blocks. Adds
     ``_left`` and ``_right``, the blocks of the cell, and ``_block``, that of the row: compare
-    rows of different blocks only where ``_left`` and ``_right`` differ. Keys of one row go.
+    rows of different blocks only where ``_left`` and ``_right`` differ. Keys of one row go. With a
+    ``weight`` column, blocks also hold about ``heaviest`` of it at most.
     """
-    sizes = (df.groupBy(*key).agg(F.count("*").alias("_size")).where(F.col("_size") > 1)
-             .select(*key, F.ceil(F.col("_size") / block).cast("int").alias("_blocks")))
+    load = F.sum(weight) / heaviest if weight else F.lit(0)
+    sizes = (df.groupBy(*key).agg(F.count("*").alias("_size"), load.alias("_load"))
+             .where(F.col("_size") > 1)
+             .select(*key, F.ceil(F.greatest(F.col("_size") / block, "_load")).cast("int")
+                     .alias("_blocks")))
     own = F.pmod(F.xxhash64(F.col(spread), F.lit(29)), F.col("_blocks")).cast("int")
     dealt = df.join(sizes, key).withColumn("_block", own)
     mate = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))

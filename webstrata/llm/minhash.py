@@ -35,7 +35,7 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 24, 4
 BITS = 4
-BLOCK = 256
+BLOCK = 1024
 CHUNK_BYTES = 1 << 20
 _HASHES = BANDS * ROWS
 _PLANE_BYTES = -(-_HASHES // 64) * 8
@@ -244,7 +244,7 @@ def _links_outside(members: DataFrame, heads: DataFrame, sets: DataFrame, parts:
                    percent: int) -> DataFrame:
     """Edges for all confirmed pairs between different components, found bucket by bucket."""
     placed = members.join(parts, "id", "left").select(
-        "h", "band", "id", F.coalesce("component_id", "id").alias("component"))
+        "h", "band", "id", "n", F.coalesce("component_id", "id").alias("component"))
     mixed = placed.groupBy("h", "band").agg(
         F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("_n"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_s"),
@@ -252,8 +252,8 @@ def _links_outside(members: DataFrame, heads: DataFrame, sets: DataFrame, parts:
     # Of buckets with the same members, the first band's holds all their pairs.
     once = mixed.groupBy("_n", "_s", "_t").agg(F.min(F.struct("band", "h")).alias("_b")).select(
         "_b.h")
-    cells = in_cells(placed.join(once, "h", "left_semi"), ["h"], "id", BLOCK).join(
-        heads.select("id", "n", "planes", "bands"), "id").select(
+    cells = in_cells(placed.join(once, "h", "left_semi"), ["h"], "id", BLOCK, "n").join(
+        heads.select("id", "planes", "bands"), "id").select(
         "h", "_left", "_right", "_block", "band", "id", "component", "n", "planes", "bands")
     opened = cut_lineage(cells.groupBy("h", "_left", "_right").applyInArrow(
         lambda table: _open_rows(table, percent), cells.schema))
@@ -271,7 +271,7 @@ def link(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) ->
     heads = (sized.join(classes.select("f1", "f2", F.col("class_id").alias("doc_id")),
                         ["doc_id", "f1", "f2"], "left_semi")
              .select(F.col("doc_id").alias("id"), "n", "planes", "bands"))
-    keyed = heads.select("id", F.posexplode("bands").alias("band", "h"))
+    keyed = heads.select("id", "n", F.posexplode("bands").alias("band", "h"))
     buckets = keyed.groupBy("h").agg(F.count("*").alias("_n"), F.min("id").alias("least")).where(
         "_n > 1").select("h", "least")
     members = cut_lineage(keyed.join(buckets, "h"))
