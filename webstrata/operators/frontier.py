@@ -34,14 +34,8 @@ def next_frontier(pages: DataFrame, seed_hosts: DataFrame, visited: DataFrame,
                         F.array().cast("array<string>").alias("click_path"))
 
 
-# A wave below this size is thin: job start-up outweighs its work, so the next job
-# takes several hops.
-THIN_WAVE = 100_000
-MAX_HOPS = 8
-
-
-# Edges are laid out by a hash of their source: the first hop of a wave that touches few
-# of these directories reads no others (dynamic partition pruning).
+# Edges are laid out by a hash of their source: a wave that touches few of these
+# directories reads no others (dynamic partition pruning).
 BUCKETS = 32
 
 
@@ -49,24 +43,11 @@ def _bucket(node: str) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(BUCKETS)).cast("int")
 
 
-def _hops(links: DataFrame, wave: DataFrame, visited: DataFrame, hops: int) -> DataFrame:
-    """``node, hop`` of the unvisited nodes within ``hops`` steps of the wave."""
-    levels, level = [], wave.select("node")
-    for hop in range(1, hops + 1):
-        sources = level.select(F.col("node").alias("src"))
-        on = ["src"]
-        if hop == 1:
-            # Later hops would each plan their predecessors twice.
-            sources, on = sources.withColumn("bucket", _bucket("src")), ["bucket", "src"]
-        targets = links.join(sources, on, "left_semi")
-        level = unvisited(targets.select(F.col("dst").alias("node")), visited, "node")
-        levels.append(level.withColumn("hop", F.lit(hop)))
-    if hops == 1:
-        return levels[0]
-    found = levels[0]
-    for other in levels[1:]:
-        found = found.union(other)
-    return found.groupBy("node").agg(F.min("hop").alias("hop"))
+def _next_wave(links: DataFrame, wave: DataFrame, visited: DataFrame) -> DataFrame:
+    """Unvisited targets of the wave's edges."""
+    sources = wave.select(F.col("node").alias("src"), _bucket("node").alias("bucket"))
+    targets = links.join(sources, ["bucket", "src"], "left_semi")
+    return unvisited(targets.select(F.col("dst").alias("node")), visited, "node").select("node")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, scope: DataFrame | None = None) -> DataFrame:
@@ -86,18 +67,14 @@ def reachable(edges: DataFrame, seeds: DataFrame, scope: DataFrame | None = None
     links.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}-edges")
     links = spark.read.schema(links.schema).parquet(f"{folder}-edges")
 
-    step, hops = 0, 1
-    wave = seeds.select("node").where(F.col("node").isNotNull()).distinct().withColumn(
-        "hop", F.lit(1))
+    step = 0
+    wave = seeds.select("node").where(F.col("node").isNotNull()).distinct()
     schema = wave.schema
     while True:
         path = f"{folder}/step={step}"
         wave.write.parquet(path)
         written = spark.read.schema(schema).parquet(path)
-        visited = spark.read.schema(schema).parquet(f"{folder}/*").select("node")
-        last = written.where(F.col("hop") == hops)
-        size = last.count()
-        if size == 0:
+        visited = spark.read.schema(schema).parquet(f"{folder}/*")
+        if written.isEmpty():
             return visited
-        hops = min(2 * hops, MAX_HOPS) if size < THIN_WAVE else 1
-        step, wave = step + 1, _hops(links, last, visited, hops)
+        step, wave = step + 1, _next_wave(links, written, visited)

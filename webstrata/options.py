@@ -96,8 +96,8 @@ def options_from_properties(*texts: str, base: CaptureOptions | None = None) ->
         elif kind.startswith("tuple"):
             parts = (part.strip() for part in re.split(delimiter, value))
             changes[target] = tuple(part for part in parts if part)
-        elif target in ("recorder", "store") and ":" not in value:
-            # A class name of another runtime means nothing here: keep the default.
+        elif target in ("recorder", "store") and ":" not in value and not value.isidentifier():
+            # Neither a registered name nor module:Class, but a class name of another runtime.
             continue
         else:
             changes[target] = value

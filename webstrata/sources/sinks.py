@@ -16,7 +16,11 @@ from webstrata.sources.warc import read_warc, write_warc
 
 @runtime_checkable
 class CallSink(Protocol):
-    """Anything that can record calls; ``close`` runs once, after the last batch."""
+    """Anything that can record calls; ``close`` runs once, after the last batch.
+
+    A sink may offer ``write_batch(calls, opts, batch_id)`` for streams, which must leave the same
+    result when a batch comes again.
+    """
 
     def write(self, calls: DataFrame, opts: CaptureOptions) -> None: ...
 
@@ -31,6 +35,11 @@ class WarcSink:
             raise ValueError("warc_path and cdx_path must be set")
         write_warc(calls, opts.warc_path)
 
+    def write_batch(self, calls: DataFrame, opts: CaptureOptions, batch_id: int) -> None:
+        if not opts.warc_path or not opts.cdx_path:
+            raise ValueError("warc_path and cdx_path must be set")
+        write_warc(calls, opts.warc_path, job=f"batch{batch_id}")
+
     def close(self, spark, opts: CaptureOptions) -> None:
         write_cdx(cdx_index(read_warc(spark, opts.warc_path, payload=False)), opts.cdx_path)
 
@@ -48,6 +57,12 @@ class LogSink:
         else:
             lines.write.mode("append").text(self.path)
 
+    def write_batch(self, calls: DataFrame, opts: CaptureOptions, batch_id: int) -> None:
+        if self.path is None:
+            self.write(calls, opts)
+        else:
+            call_log(calls).write.mode("overwrite").text(f"{self.path}/batch_id={batch_id}")
+
     def close(self, spark, opts: CaptureOptions) -> None:
         pass
 
@@ -65,6 +80,12 @@ class ResponseStoreSink:
                        clear=opts.clear_store_on_init and not self.started)
         self.started = True
 
+    def write_batch(self, calls: DataFrame, opts: CaptureOptions, batch_id: int) -> None:
+        # The store keeps the first response of a key: calls that come again change nothing.
+        if not opts.store_path:
+            raise ValueError("store_path must be set")
+        save_responses(calls, opts.store_path, clear=opts.clear_store_on_init)
+
     def close(self, spark, opts: CaptureOptions) -> None:
         pass
 
@@ -80,7 +101,9 @@ def load_sink(name: str) -> CallSink:
     """A sink by registered name or by ``package.module:Class``."""
     factory = _REGISTERED.get(name)
     if factory is None:
-        module, _, attribute = name.partition(":")
+        module, colon, attribute = name.partition(":")
+        if not colon:
+            raise ValueError(f"unknown sink {name}: known are {', '.join(sorted(_REGISTERED))}")
         factory = getattr(importlib.import_module(module), attribute)
     sink = factory()
     if not isinstance(sink, CallSink):

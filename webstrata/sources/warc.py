@@ -116,9 +116,9 @@ class _Shards(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Writes shards under attempt-specific names; the commit gives them their final ones."""
 
-    def __init__(self, path: str, shard_bytes: int, overwrite: bool) -> None:
+    def __init__(self, path: str, shard_bytes: int, overwrite: bool, job: str | None) -> None:
         self.path, self.shard_bytes, self.overwrite = path, shard_bytes, overwrite
-        self.job = uuid.uuid4().hex[:12]
+        self.job, self.named = job or uuid.uuid4().hex[:12], job is not None
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -153,12 +153,16 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = _file_system(self.path)
-        old = _shard_files(self.path) if self.overwrite else []
+        old = [info for info in _shard_files(self.path) if self.overwrite or (
+            self.named and info.base_name.endswith(f"-{self.job}.warc"))]
+        new = {final.rsplit("/", 1)[-1] for message in messages
+               for _, final in (message.moves if message else [])}
         for message in messages:
             for temporary, final in (message.moves if message else []):
                 system.move(temporary, final)
         for info in old:
-            system.delete_file(info.path)
+            if info.base_name not in new:
+                system.delete_file(info.path)
         system.create_dir(root, recursive=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -300,7 +304,8 @@ class WarcDataSource(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return WarcWriter(self.options["path"],
-                          int(self.options.get("shardbytes", SHARD_BYTES)), overwrite)
+                          int(self.options.get("shardbytes", SHARD_BYTES)), overwrite,
+                          self.options.get("job"))
 
 
 def register_warc(spark: SparkSession) -> None:
@@ -308,13 +313,17 @@ def register_warc(spark: SparkSession) -> None:
 
 
 def write_warc(calls: DataFrame, path: str, mode: str = "append",
-               shard_bytes: int = SHARD_BYTES) -> None:
-    """Write calls that got a response as WARC shards below ``path``."""
+               shard_bytes: int = SHARD_BYTES, job: str | None = None) -> None:
+    """Write calls that got a response as WARC shards below ``path``.
+
+    Shards of a named ``job`` replace those it left before.
+    """
     from webstrata.sources.calls import CALL_COLUMNS
 
     register_warc(calls.sparkSession)
-    (calls.where(F.col("status").isNotNull()).select(*CALL_COLUMNS).write.format("warc")
-     .mode(mode).option("shardBytes", str(shard_bytes)).save(path))
+    writer = (calls.where(F.col("status").isNotNull()).select(*CALL_COLUMNS).write.format("warc")
+              .mode(mode).option("shardBytes", str(shard_bytes)))
+    (writer.option("job", job) if job else writer).save(path)
 
 
 def read_warc(spark: SparkSession, path: str, cdx: DataFrame | None = None,

@@ -32,8 +32,21 @@ def _record_batch(batch: DataFrame, batch_id: int, path: str, sinks: Iterable[Ca
     calls = batch.join(fresh.hint("shuffle_hash"), "call_id")
     calls.select("request_key", *batch.columns).write.mode("overwrite").parquet(folder)
     recorded = read_recorded(spark, path).where(F.col("batch_id") == batch_id)
+    # Only a stream's first batch may clear the store, not the first one of each process.
+    first = held.isEmpty()
+    own = opts.with_(clear_store_on_init=opts.clear_store_on_init and first)
     for sink in sinks:
-        sink.write(recorded.drop("batch_id", "request_key"), opts)
+        rows = recorded.drop("batch_id", "request_key")
+        if hasattr(sink, "write_batch"):
+            sink.write_batch(rows, own, batch_id)
+        else:
+            sink.write(rows, own)
+
+
+def finish_record(spark, sinks: Iterable[CallSink], opts: CaptureOptions | None = None) -> None:
+    """End of a stream: lets each sink finish, which builds the index of an archive."""
+    for sink in sinks:
+        sink.close(spark, opts or CaptureOptions())
 
 
 def read_recorded(spark, path: str) -> DataFrame:
@@ -52,7 +65,9 @@ def stream_record(calls: DataFrame, path: str, sinks: Iterable[CallSink] = (),
 
     Within a micro-batch the earliest call wins; across batches the recorded keys decide,
     so a request is never recorded twice and no call is lost, however late it comes. A
-    batch is written under its number: replaying it overwrites the same folder.
+    batch is written under its number: replaying it overwrites the same folder. Sinks with a
+    ``write_batch`` get the number, too, and replace what they wrote for it before. Call
+    `finish_record` when the stream has ended.
 
     ``watermark`` additionally drops repeats in the state store before they reach the
     batch. That saves work where most calls are repeats, but calls later than the

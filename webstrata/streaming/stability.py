@@ -18,8 +18,8 @@ _OUTPUT = "key bigint, outcome string, stable_seq bigint"
 class StabilityProcessor(StatefulProcessor):
     """Remembers the last digest of a key until two in a row agree or time is up."""
 
-    def __init__(self, timeout_ms: int) -> None:
-        self.timeout_ms = timeout_ms
+    def __init__(self, timeout_ms: int, timers: bool) -> None:
+        self.timeout_ms, self.timers = timeout_ms, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -35,7 +35,8 @@ class StabilityProcessor(StatefulProcessor):
             batch = pd.concat(list(rows)).sort_values("seq")
             if first_ms is None:
                 first_ms = int(batch["ms"].iloc[0])
-                self.handle.registerTimer(first_ms + self.timeout_ms)
+                if self.timers:
+                    self.handle.registerTimer(first_ms + self.timeout_ms)
             for seq, ms, current in zip(batch["seq"], batch["ms"], batch["digest"]):
                 if ms > first_ms + self.timeout_ms:
                     outcome, done = [(key[0], "timed_out", None)], True
@@ -65,11 +66,15 @@ class StabilityProcessor(StatefulProcessor):
 
 
 def stream_stable(snapshots: DataFrame, timeout_ms: int | None = None,
-                  lateness: str = "0 seconds") -> DataFrame:
+                  lateness: str | None = None) -> DataFrame:
     """``key, outcome, stable_seq`` once per key, from a stream of snapshots.
 
     Needs ``key, seq, ts, html``, in sequence per key across micro-batches. Only digests
     enter the shuffle and the state.
+
+    By default no snapshot is dropped, however far its key runs behind others; a key times out
+    when a snapshot past its limit arrives. With ``lateness``, a watermark lets keys time out
+    without one, and snapshots later than it are dropped.
     """
     spark = snapshots.sparkSession
     # Timers and typed state need this state store; the setting is per session.
@@ -78,6 +83,9 @@ def stream_stable(snapshots: DataFrame, timeout_ms: int | None = None,
     digests = snapshots.select(
         "key", "seq", "ts", F.unix_millis("ts").alias("ms"),
         F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
-    return digests.withWatermark("ts", lateness).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=StabilityProcessor(timeout), outputStructType=_OUTPUT,
-        outputMode="append", timeMode="eventtime")
+    timers = lateness is not None
+    if timers:
+        digests = digests.withWatermark("ts", lateness)
+    return digests.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=StabilityProcessor(timeout, timers), outputStructType=_OUTPUT,
+        outputMode="append", timeMode="eventtime" if timers else "none")
