@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm.files import open_input
+from webstrata.llm.workers import by_batches
 from webstrata.session import cut_lineage
 
 REVISIT_BYTES = 1000
@@ -129,7 +130,7 @@ def candidates(ranges: DataFrame) -> DataFrame:
                         names=["path", "size", "offset", "successor", "exit"])
 
     return ranges.mapInArrow(
-        scan, "path string, size bigint, offset bigint, successor bigint, exit bigint")
+        by_batches(scan), "path string, size bigint, offset bigint, successor bigint, exit bigint")
 
 
 def entries(found: DataFrame, hops: int) -> DataFrame:
@@ -226,4 +227,4 @@ def read_archive(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
 
     spread = entered.select("path", "size", "offset").repartition(width, "path", "offset")
-    return spread.mapInArrow(parse, RECORD_SCHEMA)
+    return spread.mapInArrow(by_batches(parse), RECORD_SCHEMA)

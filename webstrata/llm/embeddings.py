@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.frames import components, in_cells
 from webstrata.llm.text import mix
+from webstrata.llm.workers import by_batches, by_group
 from webstrata.session import cut_lineage
 
 COSINE = 0.98
@@ -98,7 +99,7 @@ def _hashed(heads: DataFrame, depth: int, tables: int, step: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, listed],
                                              names=[*batch.schema.names, "keys"])
 
-    return heads.mapInArrow(run, "id bigint, label bigint, weight bigint, vector array<double>, "
+    return heads.mapInArrow(by_batches(run), "id bigint, label bigint, weight bigint, vector array<double>, "
                                  "keys array<bigint>")
 
 
@@ -177,7 +178,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS)
     cells = in_cells(members, ["h"], "id", BLOCK).join(
         hashed.select("id", "weight", "vector", "keys"), "id")
     found = cut_lineage(cells.groupBy("h", "_left", "_right").applyInArrow(
-        lambda table: _compare(table, cosine), "id bigint, other bigint, links bigint"))
+        by_group(lambda table: _compare(table, cosine)), "id bigint, other bigint, links bigint"))
     counts = found.groupBy("id").agg(F.sum("links").alias("_links"))
     aliases = rows.where("_good").join(classes.select("f1", "f2", "id"), ["f1", "f2"]).where(
         "vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))

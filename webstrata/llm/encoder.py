@@ -14,11 +14,13 @@ from array import array
 
 import numpy as np
 
-CACHED_WORDS = 400_000  # of each of two generations
+from webstrata.llm.workers import cache
+
+CACHED_WORDS = 100_000  # of each of two generations
 _PLAIN_BELOW = "ɐ"  # letters below keep their form and class in every Unicode version
 _MARKS = ".,;:!?"
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[str, "WordEncoder"] = cache()
 
 
 def encoder(path: str) -> "WordEncoder":

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webstrata.llm.workers import by_batches
 from webstrata.session import cut_lineage
 
 
@@ -39,7 +40,7 @@ def add_columns(df: DataFrame, ddl: str,
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(name) for name in kept), *arrays], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(by_batches(run, compute.__module__), schema)
 
 
 def text_total(df: DataFrame, column: str) -> int:

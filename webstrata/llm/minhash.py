@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.frames import components, in_cells
 from webstrata.llm.text import Words, mix, range_hashes, slices, text_bytes
+from webstrata.llm.workers import by_batches, by_group
 from webstrata.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -120,7 +121,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                      pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "n", "f1", "f2", "planes", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, planes binary, "
+    return docs.mapInArrow(by_batches(run), "doc_id bigint, n bigint, f1 bigint, f2 bigint, planes binary, "
                                 "bands array<bigint>")
 
 
@@ -148,8 +149,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(blobs, pa.binary())], names=["id", "shingles"])
 
-    squeezed = docs.where(F.col("doc_id").isNotNull()).mapInArrow(squeeze, "id bigint, body binary")
-    return squeezed.join(wanted, "id", "left_semi").mapInArrow(build, "id bigint, shingles binary")
+    squeezed = docs.where(F.col("doc_id").isNotNull()).mapInArrow(by_batches(squeeze), "id bigint, body binary")
+    return squeezed.join(wanted, "id", "left_semi").mapInArrow(by_batches(build), "id bigint, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +172,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "_a", "_b").mapInArrow(by_batches(run), "a bigint, b bigint")
 
 
 def _open_pairs(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -256,9 +257,9 @@ def _links_outside(members: DataFrame, heads: DataFrame, sets: DataFrame, parts:
         heads.select("id", "planes", "bands"), "id").select(
         "h", "_left", "_right", "_block", "band", "id", "component", "n", "planes", "bands")
     opened = cut_lineage(cells.groupBy("h", "_left", "_right").applyInArrow(
-        lambda table: _open_rows(table, percent), cells.schema))
+        by_group(lambda table: _open_rows(table, percent)), cells.schema))
     return opened.join(sets, "id").groupBy("h", "_left", "_right").applyInArrow(
-        lambda table: _settle(table, percent), "a bigint, b bigint")
+        by_group(lambda table: _settle(table, percent)), "a bigint, b bigint")
 
 
 def link(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

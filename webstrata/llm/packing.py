@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.encoder import encoder
 from webstrata.llm.text import slices
+from webstrata.llm.workers import by_batches, by_group
 
 CAPACITY = 4096
 GROUP_DOCS = 2048
@@ -96,7 +97,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_group",
                            "ids"][:6 + with_ids])
 
-    return docs.mapInArrow(cut, schema)
+    return docs.mapInArrow(by_batches(cut), schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
@@ -133,4 +134,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
             out = out.append_column(name, pa.array(values))
         return out
 
-    return pieces.groupBy("_group").applyInArrow(place, schema)
+    return pieces.groupBy("_group").applyInArrow(by_group(place), schema)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.frames import add_columns
 from webstrata.llm.text import slices, text_bytes
+from webstrata.llm.workers import by_batches
 
 # The base patterns, in order of kind, and the least length of each.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -259,7 +260,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, recall: float = RECALL)
                 [pa.array(codes, pa.binary()), pa.array(labels, pa.int32())],
                 names=["codes", "label"])
 
-    rows = sample.mapInArrow(find, "codes binary, label int").groupBy("codes").agg(
+    rows = sample.mapInArrow(by_batches(find), "codes binary, label int").groupBy("codes").agg(
         F.max("label").alias("label")).orderBy("codes").collect()
     codes = [np.frombuffer(row["codes"], np.uint8) for row in rows]
     labels = [row["label"] for row in rows]

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 
 from webstrata.llm.frames import add_columns
 from webstrata.llm.text import slices
+from webstrata.llm.workers import cache
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_PARTS = 400_000
+CACHED_PARTS = 200_000
 CHUNK_BYTES = 1 << 20
 
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -213,7 +214,7 @@ def _runs(line: str) -> list[str]:
     return [*parts, line[begin:]] if line else []
 
 
-_models: dict[str, Unigram] = {}
+_models: dict[str, Unigram] = cache()
 
 
 def model_of(path: str) -> Unigram:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.frames import add_columns, text_total
 from webstrata.llm.text import Words, slices, text_bytes
+from webstrata.llm.workers import by_batches, by_group
 
 WINDOW = 35
 CHUNK_BYTES = 4 << 20
@@ -123,7 +124,7 @@ def _send(docs: DataFrame, window: int, buckets: int, chunk_bytes: int) -> DataF
                     names=["bucket", "chunk", "kind", "blob"])
                 chunk += 1
 
-    return docs.mapInArrow(run, _SENT)
+    return docs.mapInArrow(by_batches(run), _SENT)
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -188,9 +189,9 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, chunk_bytes: int =
                          pa.array(columns[2], pa.binary())], names=["_doc", "_key", "_spans"])
 
     sent = _send(docs, window, buckets, chunk_bytes)
-    answers = sent.groupBy("bucket").applyInArrow(_answer, _SENT)
+    answers = sent.groupBy("bucket").applyInArrow(by_group(_answer), _SENT)
     return answers.groupBy("chunk").applyInArrow(
-        gather, "_doc bigint, _key bigint, _spans binary")
+        by_group(gather), "_doc bigint, _key bigint, _spans binary")
 
 
 def _cut(part: pa.RecordBatch) -> list[pa.Array]:

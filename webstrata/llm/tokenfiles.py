@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from webstrata.llm.encoder import encoder
 from webstrata.llm.files import open_input, open_output
 from webstrata.llm.text import slices
+from webstrata.llm.workers import by_batches
 from webstrata.session import cut_lineage
 
 MAGIC = b"WSIDS1\n\0"
@@ -163,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str,
             "shard": [context.partitionId()], "file": [name], "docs": [len(lengths)],
             "ids": [sum(lengths)]})
 
-    manifest = ordered.mapInArrow(write, "shard bigint, file string, docs bigint, ids bigint")
+    manifest = ordered.mapInArrow(by_batches(write), "shard bigint, file string, docs bigint, ids bigint")
     written = cut_lineage(manifest)
     written.coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest")
     return spark.read.parquet(f"{path}/_manifest")
@@ -250,4 +251,4 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                             :len(arrays)])
                 shard.close()
 
-    return listed.mapInArrow(read, schema)
+    return listed.mapInArrow(by_batches(read), schema)

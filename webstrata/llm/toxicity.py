@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.frames import add_columns
 from webstrata.llm.text import slices
+from webstrata.llm.workers import by_batches
 from webstrata.session import cut_lineage
 
 TRAIN_ROWS = 12_000
@@ -66,7 +67,7 @@ class Model:
         found: set[int] = set()
         count = 0
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for word in words_of(text):
             own = known.get(word)
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
         return Model(weights=np.zeros(3), bias=30.0 if n_toxic else -30.0)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log(
         (F.col("clean") + 0.5) / (n_clean + 1.0))
-    found = (sample.mapInArrow(count, "feature string, toxic bigint, clean bigint")
+    found = (sample.mapInArrow(by_batches(count), "feature string, toxic bigint, clean bigint")
              .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
              .where((F.col("toxic") >= LEAST_TEXTS) & (odds * F.sqrt("toxic") > LEAST_EVIDENCE))
              .orderBy((odds * F.sqrt("toxic")).desc(), "feature").limit(voters).collect())
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
                 [batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))],
                 names=["toxic", "active"])
 
-    seen = sample.orderBy("doc_id").mapInArrow(active, "toxic int, active array<int>").collect()
+    seen = sample.orderBy("doc_id").mapInArrow(by_batches(active), "toxic int, active array<int>").collect()
     rows = np.zeros((len(seen), width))
     for at, row in enumerate(seen):
         rows[at, row["active"]] = 1
