@@ -3,7 +3,8 @@
 Base spans come from the patterns below. Candidates are longest runs of token characters, of 16
 or more with a digit, that touch no base span. A small convolutional network in numpy reads each
 candidate with its context. It is trained on findings labelled by the base patterns in at most
-``SAMPLE_DOCS`` documents, chosen by a hash of doc_id, and on drawn secrets and look-alikes.
+``SAMPLE_DOCS`` documents, chosen by a hash of doc_id, of at most ``SAMPLE_WINDOWS`` different
+windows, chosen by a hash too, and on drawn secrets and look-alikes.
 Platt scaling on findings kept aside calibrates it; the threshold is the highest that keeps the
 required recall there. Candidates longer than the network's window are read in windows.
 
@@ -15,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,9 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 SAMPLE_DOCS = 2000
+SAMPLE_WINDOWS = 50_000
 DRAWN = 1500
 RECALL = 0.97
-LEAST_PROBABILITY = 0.9
 LEFT, INSIDE, RIGHT = 24, 48, 8
 _WIDTH = LEFT + INSIDE + RIGHT
 CHUNK_BYTES = 1 << 20
@@ -73,12 +76,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """Runs that may be secrets and touch no span."""
+    """Runs that may be secrets and touch no span; spans are in order of their begins."""
+    begins = [begin for begin, _, _ in spans]
+    furthest = list(accumulate((end for _, end, _ in spans), max))
     out = []
     for match in _RUN.finditer(text):
         begin, end = match.span()
-        if any(c.isdigit() for c in match[0]) and not any(
-                b < end and begin < e for b, e, _ in spans):
+        before = bisect_left(begins, end)  # that many spans begin ahead of the run's end
+        touched = before > 0 and furthest[before - 1] > begin
+        if not touched and any(c.isdigit() for c in match[0]):
             out.append((begin, end))
     return out
 
@@ -251,17 +257,19 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, recall: float = RECALL)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, labels = [], []
-            for text in batch.column("text").to_pylist():
-                more, marks = _labelled(text)
-                codes += [c.tobytes() for c in more]
-                labels += marks
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(codes, pa.binary()), pa.array(labels, pa.int32())],
-                names=["codes", "label"])
+            for part in slices(batch, "text", CHUNK_BYTES):
+                codes, labels = [], []
+                for text in part.column("text").to_pylist():
+                    more, marks = _labelled(text)
+                    codes += [c.tobytes() for c in more]
+                    labels += marks
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(codes, pa.binary()), pa.array(labels, pa.int32())],
+                    names=["codes", "label"])
 
     rows = sample.mapInArrow(by_batches(find), "codes binary, label int").groupBy("codes").agg(
-        F.max("label").alias("label")).orderBy("codes").collect()
+        F.max("label").alias("label")).orderBy(F.xxhash64("codes"), "codes").limit(
+        SAMPLE_WINDOWS).collect()
     codes = [np.frombuffer(row["codes"], np.uint8) for row in rows]
     labels = [row["label"] for row in rows]
     for text, begin, end, label in _drawn(np.random.default_rng(11), DRAWN):
@@ -282,7 +290,7 @@ def find_all(texts: list[str], touched: np.ndarray, network: Network) -> list[li
                 codes.append(window)
                 owners.append((row, begin, end))
     if codes:
-        likely = network.probabilities(np.array(codes)) >= max(network.threshold, LEAST_PROBABILITY)
+        likely = network.probabilities(np.array(codes)) >= network.threshold
         for row, begin, end in dict.fromkeys(o for o, k in zip(owners, likely.tolist()) if k):
             found[row].append((begin, end, "cnn"))
     return [sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))) for spans in found]
