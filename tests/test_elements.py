@@ -97,3 +97,23 @@ def test_candidates_keep_repeats(spark):
     assert el.candidates(listener, attribute, submit, CaptureOptions()).count() == 2
     assert el.candidates(listener, attribute, submit,
                          CaptureOptions(submit_forms=True)).count() == 3
+
+
+def test_unclosed_formatting_stays_linear():
+    found = page_elements("<p><b>x" * 800)
+    assert len(found) <= 3 + 5 * 800 and max(len(e[1]) for e in found) < 40
+    tags = [e[0] for e in page_elements("<p><b>x<p><b>y<p><b>z<p><b>w<p><b>v")]
+    assert tags == ["html", "head", "body", *(
+        t for n in range(5) for t in ["p", *["b"] * (min(n, 3) + 1)])]
+
+
+def test_unequal_formatting_is_kept_apart():
+    text = "".join(f"<font color={n}>" for n in range(5)) + "<p>x</p>"
+    assert [e[0] for e in page_elements("<p>" + text + "<p>y")][-5:] == ["font"] * 5
+
+
+def test_formatting_does_not_enter_cells():
+    found = page_elements("<b>x<table><tr><td>y<i>z<td>w</table>v")
+    cells = [e[1] for e in found if e[0] == "td"]
+    inside = [e[0] for e in found if any(e[1] != c and e[1].startswith(c) for c in cells)]
+    assert len(cells) == 2 and inside == ["i"]

@@ -47,15 +47,15 @@ SCOPE_CASES = [
     (None, True, (r".*",), (), False)]
 
 
-@pytest.mark.parametrize("inline", [True, False])
 @pytest.mark.parametrize("host, subdomains, include, exclude, want", SCOPE_CASES)
-def test_scope(spark, host, subdomains, include, exclude, want, inline):
-    seeds = spark.createDataFrame([("a.com",), (None,), ("a.com",)], "host string")
+def test_scope(spark, host, subdomains, include, exclude, want):
+    seeds = spark.createDataFrame([("a.com",), (None,), ("a.com",), ("w.b.a.com",)],
+                                  "host string")
     opts = CaptureOptions(include_seed_subdomains=subdomains, include_hosts=include,
                           exclude_hosts=exclude)
     url = "http://a_b.c/" if host is None else f"http://{host}/p"
     df = spark.createDataFrame([(1, url)], "id int, url string")
-    assert scope.in_scope(df, seeds, opts, inline=inline).isEmpty() is not want
+    assert scope.in_scope(df, seeds, opts).isEmpty() is not want
 
 
 def test_local_files_and_other_schemes(spark):
@@ -125,6 +125,21 @@ def test_rounds_hold_one_request_per_host(spark):
     assert rounds.groupBy("host", "round").count().where("count > 1").isEmpty()
 
 
+def test_rounds_without_politeness(spark):
+    calls = _calls(spark, [(i, i, "GET", "http://h/", None, 200) for i in range(5)])
+    rounds = dedup.politeness_rounds(calls, one_per_host=False)
+    assert [r["round"] for r in rounds.collect()] == [1] * 5
+
+
+def test_rows_in_scope_stay_single(spark):
+    """Repeated rows keep their number although several seeds lie above their host."""
+    seeds = spark.createDataFrame([("a.com",), ("b.a.com",), ("com.",)], "host string")
+    rows = spark.createDataFrame([("c.b.a.com", 1), ("c.b.a.com", 1), ("x.com", 2), (None, 3)],
+                                 "host string, _key int")
+    assert [tuple(r) for r in scope.seed_scope(rows, seeds).collect()] == [("c.b.a.com", 1)] * 2
+    assert scope.seed_scope(rows, seeds.limit(0)).isEmpty()
+
+
 def test_hot_keys_and_salted_lookup(spark):
     left = _skewed(spark).withColumnRenamed("g", "k")
     right = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3)], "k string, w int")
@@ -179,7 +194,8 @@ def test_first_stable(spark):
     df = spark.createDataFrame(
         shots(1, "a", "a", "b", "b") + shots(2, "a", "b", "c", "c") + shots(3, "a", "b", "a")
         + shots(4, "a"), "key bigint, seq bigint, ts timestamp, html string")
-    plain = {r.key: (r.outcome, r.stable_seq) for r in snapshots.first_stable(df).collect()}
+    plain = {r.key: (r.outcome, r.stable_seq)
+             for r in snapshots.first_stable(df, timeout_ms=None).collect()}
     assert plain == {1: ("stable", 1), 2: ("stable", 3), 3: ("timed_out", None),
                      4: ("timed_out", None)}
     short = {r.key: (r.outcome, r.stable_seq)

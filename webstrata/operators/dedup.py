@@ -49,12 +49,16 @@ def unvisited(candidates: DataFrame, visited: DataFrame, key: str = "url") -> Da
     return fresh.join(visited.select(key), key, "left_anti")
 
 
-def politeness_rounds(requests: DataFrame, uri: str = "uri") -> DataFrame:
+def politeness_rounds(requests: DataFrame, uri: str = "uri",
+                      one_per_host: bool = True) -> DataFrame:
     """``call_id, host, round``: each round holds at most one request per host.
 
-    Requests of a host are numbered by ``(ts, call_id)``. Only narrow rows move.
+    Requests of a host are numbered by ``(ts, call_id)``. Only narrow rows move. Without
+    ``one_per_host`` all requests may go at once, in round 1.
     """
     narrow = requests.select("call_id", "ts", url_host(uri).alias("host"))
+    if not one_per_host:
+        return narrow.select("call_id", "host", F.lit(1).cast("bigint").alias("round"))
     laid = lay_out(narrow, ["host"], ["ts", "call_id"])
     return rank_in_group(laid, ["host"], ["ts", "call_id"], "round").select(
         "call_id", "host", "round")

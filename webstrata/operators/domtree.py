@@ -1,7 +1,8 @@
 """Child-index addresses of one page's elements, by the tree rules of the HTML standard.
 
 Covers implied html/head/body, void elements, implied end tags, implied table parts and
-re-opened formatting elements. Misnested formatting across blocks is closed, not moved.
+re-opened formatting elements, three equal ones at most and none from outside a cell, caption or
+object. Misnested formatting across blocks is closed, not moved.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ CLOSES_P = frozenset(
     "section summary table ul listing plaintext xmp li dd dt".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+MARKERS = frozenset("applet caption marquee object td template th".split())
 SCOPE = frozenset("html table td th caption marquee object applet template button "
                   "foreignobject".split())
 BLOCKS = CLOSES_P - {"p"} | frozenset(
     "body html table tbody thead tfoot tr td th caption button object select".split())
+MOST_EQUAL = 3
 TABLE_PARTS = {"tr": ("tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",),
                "col": ("colgroup",)}
 IMPLIED = {"tr": "tbody", "td": "tr", "th": "tr", "col": "colgroup"}
@@ -51,7 +54,8 @@ class _Tree:
                       ["body", "0>1>", None, False, None]]
         self.counts = {"0>": 2, "0>0>": 0, "0>1>": 0}
         self.open: list[tuple[str, str]] = [("html", "0>"), ("head", "0>0>")]
-        self.formatting: list[tuple[str, str, tuple]] = []
+        # (tag, path, attributes, all attributes as written, path of the enclosing marker)
+        self.formatting: list[tuple[str, str, tuple, frozenset, str]] = []
 
     @property
     def in_head(self) -> bool:
@@ -97,20 +101,37 @@ class _Tree:
             if tag in BLOCKS and tag not in ("address", "div"):
                 return
 
+    def marker(self) -> str:
+        """Path of the innermost open cell, caption or object; entries of closed ones go."""
+        marks = [path for tag, path in self.open if tag in MARKERS]
+        while self.formatting and self.formatting[-1][4] not in ("", *marks):
+            self.formatting.pop()
+        return marks[-1] if marks else ""
+
     def reopen_formatting(self) -> None:
         if not self.formatting:
             return
+        mark = self.marker()
         opened = {path for _, path in self.open}
-        for at, (tag, path, attrs) in enumerate(self.formatting):
-            if path not in opened:
-                self.formatting[at] = (tag, self.add(tag, attrs), attrs)
+        for at, (tag, path, attrs, written, own) in enumerate(self.formatting):
+            if own == mark and path not in opened:
+                self.formatting[at] = (tag, self.add(tag, attrs), attrs, written, own)
+
+    def remember(self, tag: str, path: str, attrs: tuple, written: frozenset) -> None:
+        """Note an open formatting element; of more than three equal ones the first is forgotten."""
+        mark = self.marker()
+        equal = [at for at, entry in enumerate(self.formatting)
+                 if entry[0] == tag and entry[3] == written and entry[4] == mark]
+        if len(equal) >= MOST_EQUAL:
+            del self.formatting[equal[0]]
+        self.formatting.append((tag, path, attrs, written, mark))
 
     def characters(self, text: str) -> None:
         if text and (not self.in_head or text.strip()):
             self.enter_body()
             self.reopen_formatting()
 
-    def start(self, tag: str, attrs: tuple, closed: bool) -> None:
+    def start(self, tag: str, attrs: tuple, closed: bool, source: str = "") -> None:
         if tag in ("html", "head", "body"):
             self.merge(("html", "head", "body").index(tag), attrs)
             if tag == "body":
@@ -150,7 +171,8 @@ class _Tree:
             self.reopen_formatting()
         path = self.add(tag, attrs, keep_open=not (closed or tag in VOID or tag in RAW))
         if tag in FORMATTING and not closed:
-            self.formatting.append((tag, path, attrs))
+            self.remember(tag, path, attrs, frozenset(
+                (name.lower(), value.strip("'\"")) for name, value in _ATTRIBUTE.findall(source)))
 
     def _missing_parts(self, tag: str) -> list[str]:
         missing: list[str] = []
@@ -171,7 +193,10 @@ class _Tree:
             self.start("br", (None, False, None), True)
             return
         if tag in FORMATTING:
+            mark = self.marker()
             for at in range(len(self.formatting) - 1, -1, -1):
+                if self.formatting[at][4] != mark:
+                    break
                 if self.formatting[at][0] == tag:
                     path = self.formatting.pop(at)[1]
                     if any(path == one for _, one in self.open):
@@ -216,7 +241,7 @@ def page_elements(text: str) -> list[list]:
             source = token.group("raw_attrs") if token.group("raw") else token.group("attrs")
             foreign += tag in ("svg", "math")
             closed = bool(foreign) and source.rstrip().endswith("/")
-            tree.start(tag, _read_attributes(source), closed)
+            tree.start(tag, _read_attributes(source), closed, source)
             if closed and tag in ("svg", "math"):
                 foreign -= 1
         elif token.group("end") is not None:

@@ -77,7 +77,8 @@ _BATCH_ROWS = 20_000
 def _walk_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for page_id, url, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for at in range(batch.num_rows):  # one page at a time: texts may be long
+            page_id, url, text = (batch.column(i)[at].as_py() for i in range(3))
             found = page_elements(text or "")
             base = next((e[2] for e in found if e[0] == "base" and e[2] is not None), None)
             rows.extend((page_id, url, pos, tag, path, href, base, onclick, kind)

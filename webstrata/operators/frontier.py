@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from webstrata.functions.urls import canonical_url, settle, url_host
 from webstrata.operators.dedup import unvisited
 from webstrata.operators.elements import clickable_elements
-from webstrata.operators.filters import drop_unwanted_href
+from webstrata.operators.filters import drop_unwanted_href, navigated
+from webstrata.operators.lookups import fresh_navigations
 from webstrata.operators.scope import in_scope
 from webstrata.options import CaptureOptions
 from webstrata.session import work_path
@@ -34,6 +35,21 @@ def next_frontier(pages: DataFrame, seed_hosts: DataFrame, visited: DataFrame,
                         F.array().cast("array<string>").alias("click_path"))
 
 
+def navigation_refs(navigations: DataFrame, fetched: DataFrame, seed_hosts: DataFrame,
+                    visited: DataFrame, opts: CaptureOptions | None = None) -> DataFrame:
+    """References of pages that clicks led to: newly fetched, in scope and never visited.
+
+    URLs stay as the browser shows them; ``visited`` holds canonical ones in ``url``.
+    """
+    moved = fresh_navigations(navigated(navigations), fetched)
+    inside = in_scope(moved.select(F.col("current_url").alias("url")), seed_hosts,
+                      opts or CaptureOptions())
+    refs = settle(inside.distinct(), _key=canonical_url("url"))
+    fresh = refs.join(visited.select(F.col("url").alias("_key")), "_key", "left_anti")
+    return fresh.select("url", url_host("url").alias("host"),
+                        F.array().cast("array<string>").alias("click_path"))
+
+
 # Edges are laid out by a hash of their source: a wave that touches few of these
 # directories reads no others (dynamic partition pruning).
 BUCKETS = 32

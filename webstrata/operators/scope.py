@@ -5,76 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.functions.urls import as_column, host_suffixes, settle, url_host, url_scheme
+from webstrata.functions.urls import host_suffixes, settle, url_host, url_scheme
 from webstrata.operators.filters import external_scope
-from webstrata.operators.skew import salted_lookup
 from webstrata.options import CaptureOptions
-from webstrata.session import cut_lineage
 
-# Up to this many seed hosts travel inside the plan; more are joined.
-SEED_HOSTS_INLINE = 10_000
 
+def topmost_hosts(seed_hosts: DataFrame, subdomains: bool) -> DataFrame:
+    """``_seed``: the distinct seed hosts; with subdomains, none that lies below another one.
 
-def _inline_hosts(seed_hosts: DataFrame) -> list[str] | None:
-    """The distinct seed hosts, or None if there are more than the bound."""
-    rows = (seed_hosts.select("host").where(F.col("host").isNotNull()).distinct()
-            .limit(SEED_HOSTS_INLINE + 1).collect())
-    return None if len(rows) > SEED_HOSTS_INLINE else [row[0] for row in rows]
-
-
-def matches_seed(host: Column | str, seeds: list[str], subdomains: bool) -> Column:
-    """Host equals a seed host or, with subdomains, lies below one; case-sensitive."""
-    host = as_column(host)
-    if not seeds:
-        return F.lit(False)
-    found = (F.exists(host_suffixes(host), lambda suffix: suffix.isin(seeds)) if subdomains
-             else host.isin(seeds))
-    return F.coalesce(found, F.lit(False))
-
-
-def with_seed_match(df: DataFrame, seed_hosts: DataFrame, subdomains: bool,
-                    host: str = "host", name: str = "seed_match",
-                    inline: bool | None = None) -> DataFrame:
-    """Append whether ``host`` matches a seed host.
-
-    A bounded seed list becomes a hash-set test on each row: no join and no shuffle, so
-    hot hosts do not matter. A longer list is joined against the distinct hosts, each
-    exploded to its suffixes, and the matching hosts are joined back.
+    So at most one of them matches a given host.
+    """
+    seeds = seed_hosts.select(F.col("host").alias("_seed")).where(
+        F.col("_seed").isNotNull()).distinct()
+    if not subdomains:
+        return seeds
+    above = F.filter(host_suffixes("_seed"), lambda suffix: suffix != F.col("_seed"))
+    below = seeds.select("_seed", F.explode(above).alias("_above")).join(
+        seeds.select(F.col("_seed").alias("_above")), "_above", "left_semi")
+    return seeds.join(below.select("_seed"), "_seed", "left_anti")
+
+
+def _matching(df: DataFrame, seed_hosts: DataFrame, subdomains: bool, host: str,
+              candidate: Column, anyway: Column) -> DataFrame:
+    """Rows of ``candidate`` hosts that match a seed host, and those that stay ``anyway``.
+
+    Each row is spread over its host and the domains above it, of which one at most is a
+    topmost seed, so rows need not be brought together again. The same plan serves seed
+    lists of any length: Spark broadcasts them by measured size, or splits hot hosts in a join.
     """
-    seeds = _inline_hosts(seed_hosts) if inline is None or inline else None
-    if seeds is not None:
-        return df.withColumn(name, matches_seed(host, seeds, subdomains))
-    df = cut_lineage(df)  # read several times below; what made it may be costly
-    hosts = df.select(F.col(host).alias("_host")).where(F.col("_host").isNotNull()).distinct()
-    keys = host_suffixes("_host") if subdomains else F.array("_host")
-    suffixes = hosts.select("_host", F.explode(keys).alias("_suffix"))
-    seeds = seed_hosts.select(F.col("host").alias("_suffix")).where(
-        F.col("_suffix").isNotNull()).distinct()
-    matched = salted_lookup(suffixes, seeds, "_suffix", ["_host"], "left_semi")
-    flags = matched.select(F.col("_host").alias(host)).distinct().withColumn(
-        name, F.lit(True))
-    spread_by = [c for c in df.columns if c != host] or [host]
-    joined = salted_lookup(df, flags, host, spread_by)
-    return joined.withColumn(name, F.coalesce(name, F.lit(False))).select(*df.columns, name)
+    keys = F.when(anyway, F.array(F.lit(None).cast("string"))).when(
+        candidate, host_suffixes(host) if subdomains else F.array(F.col(host)))
+    spread = df.select(*df.columns, F.explode(keys).alias("_scope_key"), anyway.alias("_anyway"))
+    seeds = topmost_hosts(seed_hosts, subdomains)
+    joined = spread.join(seeds, spread["_scope_key"] == seeds["_seed"], "left")
+    return joined.where(F.col("_anyway") | F.col("_seed").isNotNull()).select(*df.columns)
 
 
 def seed_scope(df: DataFrame, seed_hosts: DataFrame, subdomains: bool = True,
-               host: str = "host", inline: bool | None = None) -> DataFrame:
-    """Rows whose host matches a seed host."""
-    matched = with_seed_match(df, seed_hosts, subdomains, host, "_seed_match", inline)
-    return matched.where("_seed_match").drop("_seed_match")
+               host: str = "host") -> DataFrame:
+    """Rows whose host equals a seed host or, with subdomains, lies below one; case-sensitive."""
+    return _matching(df, seed_hosts, subdomains, host, F.col(host).isNotNull(), F.lit(False))
 
 
 def in_scope(df: DataFrame, seed_hosts: DataFrame, opts: CaptureOptions,
-             url: str = "url", inline: bool | None = None) -> DataFrame:
+             url: str = "url") -> DataFrame:
     """Rows whose URL may be crawled: web pages of seed or admitted hosts, local files.
 
     Seeds come first: exclude patterns only concern hosts an include pattern admitted.
     """
     parts = settle(df, _host=url_host(url), _scheme=url_scheme(url))
-    matched = with_seed_match(parts, seed_hosts, opts.include_seed_subdomains, "_host",
-                              "_seed_match", inline)
-    web = F.col("_scheme").startswith("http") & (
-        F.col("_seed_match") | external_scope("_host", opts.include_hosts, opts.exclude_hosts))
+    web = F.coalesce(F.col("_scheme").startswith("http"), F.lit(False))
     local = F.col("_scheme").startswith("file") & F.lit(opts.include_local_files)
-    return matched.where(F.coalesce(web | local, F.lit(False))).select(*df.columns)
+    admitted = web & external_scope("_host", opts.include_hosts, opts.exclude_hosts)
+    return _matching(parts, seed_hosts, opts.include_seed_subdomains, "_host", web,
+                     F.coalesce(local | admitted, F.lit(False))).select(*df.columns)

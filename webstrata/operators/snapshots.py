@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.operators.ordered import lay_out, previous_in_group
+from webstrata.options import CaptureOptions
 from webstrata.session import cut_lineage
 
 
 def first_stable(snapshots: DataFrame, key: str = "key", order: str = "seq",
-                 payload: str = "html", timeout_ms: int | None = None) -> DataFrame:
+                 payload: str = "html",
+                 timeout_ms: int | None = CaptureOptions.page_load_timeout_ms) -> DataFrame:
     """``key, outcome, stable_seq`` per key: ``stable`` or ``timed_out``.
 
-    With a timeout, the stable snapshot must come within it, counted from the first one.
+    Unless the timeout is None, the stable snapshot must come within it, counted from the first one.
     Payloads are compared by digest: only digests are shuffled, and a key with very many
     snapshots is worked on in parallel.
     """

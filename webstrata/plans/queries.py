@@ -394,9 +394,11 @@ def j1_seed_scope_exact(spark, sf_dir):
 
 @query
 def j1_seed_scope_long_list(spark, sf_dir):
-    """The form used for seed lists too long to travel in the plan."""
-    return scope.seed_scope(_subdomains(spark, sf_dir), _seed_hosts(spark, sf_dir), True,
-                            inline=False)
+    """Seeds among very many hosts, one per order, that no page has."""
+    others = t.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("shop."), F.col("o_orderkey"), F.lit(".invalid")).alias("host"))
+    seed_hosts = _seed_hosts(spark, sf_dir).select("host").union(others)
+    return scope.seed_scope(_subdomains(spark, sf_dir), seed_hosts, True)
 
 
 @query
@@ -466,7 +468,7 @@ def d3_politeness_rounds(spark, sf_dir):
 
 @query
 def d4_first_stable(spark, sf_dir):
-    return snapshots.first_stable(t.snapshots(spark, sf_dir))
+    return snapshots.first_stable(t.snapshots(spark, sf_dir), timeout_ms=None)
 
 
 @query
@@ -504,6 +506,18 @@ def i3_next_frontier(spark, sf_dir):
     return wave.select("url", "host", F.size("click_path").alias("clicks"))
 
 
+@query
+def i3_navigation_refs(spark, sf_dir):
+    """Clicks to a fragment of each link; every fifth page's links were visited before."""
+    moves = t.navigations(spark, sf_dir)
+    visited = moves.where(F.col("visit_id") % 5 == 0).select(
+        fn.canonical_url("current_url").alias("url"))
+    shown = moves.withColumn("current_url", F.concat("current_url", F.lit("#at")))
+    refs = frontier.navigation_refs(shown, t.fetched(spark, sf_dir), _seed_hosts(spark, sf_dir),
+                                    visited)
+    return refs.select("url", "host", F.size("click_path").alias("clicks"))
+
+
 @query
 def i4_reachable(spark, sf_dir):
     starts = t.pages(spark, sf_dir).where(F.col("url").rlike("^http://[^/]+/es/")).select(
