@@ -325,7 +325,7 @@ FROM (SELECT *, regexp_extract(origin, '//(.*)$', 1) AS host FROM links)
 WHERE {_SEEDED} AND origin || href NOT IN (SELECT split_part(url, '#', 1) FROM pages)""",
     "i3_navigation_refs": f"""
 WITH {_LINKS}, {_SEEDS}
-SELECT DISTINCT origin || href || '#at' AS url, host, 0 AS clicks
+SELECT DISTINCT href_abs || '#at' AS url, host, 0 AS clicks
 FROM (SELECT *, regexp_extract(origin, '//(.*)$', 1) AS host FROM links)
 WHERE {_SEEDED} AND k % 2 = 0 AND origin || href <> split_part(url, '#', 1)
   AND origin || href NOT IN (SELECT origin || href FROM links WHERE page_id % 5 = 0)""",
