@@ -10,7 +10,7 @@ from webstrata.sources.store import read_responses
 from webstrata.sources.warc import read_warc
 from webstrata.streaming.record import (_record_batch, finish_record, read_recorded,
                                         stream_record)
-from webstrata.streaming.stability import stream_stable
+from webstrata.streaming.stability import finish_stable, stream_stable
 from webstrata.options import CaptureOptions
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -121,3 +121,25 @@ def test_keys_behind_others_lose_nothing(spark, folder):
             availableNow=True).start().awaitTermination()
     got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {(1, "stable", 2), (2, "stable", 2)}
+
+
+def test_open_keys_time_out_when_the_stream_ends(spark, folder):
+    def shots(key, first, pages):
+        return [(key, first + i, T0 + datetime.timedelta(seconds=first + i), p)
+                for i, p in enumerate(pages)]
+
+    # Never stable, a single snapshot, stable in the second batch, past its limit, open over both.
+    parts = [shots(1, 0, "abc") + shots(2, 0, "a") + shots(3, 0, "ab") + shots(4, 0, "ab"),
+             shots(3, 2, "b") + shots(4, 90, "b") + shots(5, 0, "ab") + shots(1, 3, "d")]
+    schema = "key bigint, seq bigint, ts timestamp, html string"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        stream_stable(stream, 20_000).writeStream.format("parquet").option(
+            "path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(
+            availableNow=True).start().awaitTermination()
+    rest = finish_stable(spark, f"{folder}/state")
+    got = sorted(map(tuple, spark.read.parquet(f"{folder}/out").unionByName(rest).collect()))
+    shown = spark.read.schema(schema).parquet(f"{folder}/in")
+    want = sorted(map(tuple, first_stable(shown, timeout_ms=20_000).collect()))
+    assert got == want and {r.key for r in rest.collect()} == {1, 2, 5}

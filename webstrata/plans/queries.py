@@ -16,7 +16,7 @@ from webstrata.session import work_path
 from webstrata.sources import calls as call_source
 from webstrata.sources import cdx, seeds, sinks, store, warc
 from webstrata.streaming.record import read_recorded, stream_record
-from webstrata.streaming.stability import stream_stable
+from webstrata.streaming.stability import OUTPUT, finish_stable, stream_stable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -551,4 +551,5 @@ def t2_stream_stable(spark, sf_dir):
     stream_stable(stream, timeout_ms=36_500 * t.DAY).writeStream.format("parquet").option(
         "path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(
         availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("key", "outcome", "stable_seq")
+    emitted = spark.read.schema(OUTPUT).parquet(f"{root}/out")
+    return emitted.unionByName(finish_stable(spark, f"{root}/state"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from webstrata.options import CaptureOptions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_OUTPUT = "key bigint, outcome string, stable_seq bigint"
+OUTPUT = "key bigint, outcome string, stable_seq bigint"
 
 
 class StabilityProcessor(StatefulProcessor):
@@ -73,8 +73,9 @@ def stream_stable(snapshots: DataFrame, timeout_ms: int | None = None,
     enter the shuffle and the state.
 
     By default no snapshot is dropped, however far its key runs behind others; a key times out
-    when a snapshot past its limit arrives. With ``lateness``, a watermark lets keys time out
-    without one, and snapshots later than it are dropped.
+    when a snapshot past its limit arrives, or in `finish_stable` when the stream has ended. With
+    ``lateness``, a watermark lets keys time out without one, and snapshots later than it are
+    dropped.
     """
     spark = snapshots.sparkSession
     # Timers and typed state need this state store; the setting is per session.
@@ -87,5 +88,18 @@ def stream_stable(snapshots: DataFrame, timeout_ms: int | None = None,
     if timers:
         digests = digests.withWatermark("ts", lateness)
     return digests.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=StabilityProcessor(timeout, timers), outputStructType=_OUTPUT,
+        statefulProcessor=StabilityProcessor(timeout, timers), outputStructType=OUTPUT,
         outputMode="append", timeMode="eventtime" if timers else "none")
+
+
+def finish_stable(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """End of a stream: the ``timed_out`` rows of all keys that got no row while it ran.
+
+    Open keys are read from the state below ``checkpoint`` as the last micro-batch left it. Rows
+    of the stream and these together have each key once, as `first_stable` has. Write them to a
+    folder of their own: readers of a file sink see only what its log names.
+    """
+    state = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return state.where(~F.col("value.done")).select(
+        F.col("key.key").alias("key"), F.lit("timed_out").alias("outcome"),
+        F.lit(None).cast("bigint").alias("stable_seq"))
