@@ -199,6 +199,16 @@ def test_encoder(name):
         assert np.frombuffer(ids, own.dtype).tolist() == want, repr(text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_letters_that_lower_to_more_than_letters(name):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["İstanbul", "İstanbul.", "a İ, bİ", "DİYARBAKIR İzmir!", "aİ. b", "İİ", "x\nİ\ny"]
+    own = encoder(public_tokenizers.path(name))
+    for text, ids in zip(texts, own.encode(texts)):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, own.dtype).tolist() == want, repr(text)
+
+
 def test_packing(docs):
     rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=64,
                         group_docs=4, with_ids=True).collect()

@@ -87,13 +87,18 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _is_plain(self, word: str) -> bool:
+        # The small form of U+0130 has a combining mark, at which the vocabulary splits.
+        return word.isalpha() and max(word) < _PLAIN_BELOW and (
+            not self._lowers or word.lower().isalpha())
+
     def _find(self, known: _Known, word: str, before: str) -> bytes:
         mark = self._marks.get(word[-1:])
         if mark is not None:
             core = word[:-1]
-            if core.isalpha() and max(core) < _PLAIN_BELOW:
+            if self._is_plain(core):
                 return known[core] + mark
-        elif word.isalpha() and max(word) < _PLAIN_BELOW:
+        elif self._is_plain(word):
             unit = before + (word.lower() if self._lowers else word)
             return self._pack([token.id for token in self._merge(
                 unit.encode().decode("latin-1").translate(self._letters))])
