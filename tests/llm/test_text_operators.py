@@ -209,6 +209,21 @@ def test_encoder_letters_that_lower_to_more_than_letters(name):
         assert np.frombuffer(ids, own.dtype).tolist() == want, repr(text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens_inside_texts_keep_their_ids(spark, folder, name):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y<|endoftext|>.",
+             "a\n<|endoftext|>\nb", "<|startoftext|> İ <|ENDOFTEXT|>", " <|endoftext|>  a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), PLAIN)
+    want = {i: plain.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    packed = packing.pack(docs, public_tokenizers.path(name), with_ids=True)
+    write_token_files(docs, f"file://{folder}/ids", public_tokenizers.path(name))
+    filed = read_token_files(spark, f"file://{folder}/ids")
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packed.collect()} == want
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in filed.collect()} == {
+        i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()}
+
+
 def test_packing(docs):
     rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=64,
                         group_docs=4, with_ids=True).collect()

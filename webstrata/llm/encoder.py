@@ -20,14 +20,18 @@ CACHED_WORDS = 100_000  # of each of two generations
 _PLAIN_BELOW = "ɐ"  # letters below keep their form and class in every Unicode version
 _MARKS = ".,;:!?"
 
-_encoders: dict[str, "WordEncoder"] = cache()
+_encoders: dict[tuple[str, bool], "WordEncoder"] = cache()
 
 
-def encoder(path: str) -> "WordEncoder":
-    """The process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, specials: bool = False) -> "WordEncoder":
+    """The process's encoder for a vocabulary file.
+
+    With ``specials``, a special token's string inside a text gives that token's id, as the
+    library does by default; without, it is ordinary text.
+    """
+    if (path, specials) not in _encoders:
+        _encoders[path, specials] = WordEncoder(path, specials)
+    return _encoders[path, specials]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,11 +64,11 @@ class _Known(dict):
 
 
 class WordEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # such strings are ordinary text
+        self._tokenizer.encode_special_tokens = not specials
         self._tokenizer.no_truncation()
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")

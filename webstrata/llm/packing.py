@@ -76,7 +76,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
               "_group bigint" + (", ids binary" if with_ids else ""))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, specials=True)
         end = np.array([end_id], "<u4")
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):

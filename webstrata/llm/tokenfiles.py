@@ -134,7 +134,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context, encode = TaskContext.get(), encoder(vocabulary)
+        context, encode = TaskContext.get(), encoder(vocabulary, specials=True)
         end = np.array([end_id], encode.dtype).tobytes()
         name = f"{path}/shard-{context.partitionId():06d}-{context.taskAttemptId()}.ids"
         stream, lengths, doc_ids, at = None, [], [], len(MAGIC)
