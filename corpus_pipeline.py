@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm import minhash, packing, secrets, substrings, toxicity
-from webstrata.session import work_path
+from webstrata.session import cut_lineage, work_path
 
 
 def _with_text(df: DataFrame, text: str, changed, columns: list[str]) -> DataFrame:
@@ -32,10 +32,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; rows without doc_id stay."""
-    kept = minhash.link(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each near-duplicate group stays, that of the smallest doc_id.
+
+    Rows are compared one by one, whether doc_ids repeat or are missing. Texts without words
+    are no copies of each other, but those of one doc_id are.
+    """
+    # Written, so that a row has the same key in each pass.
+    keyed = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    linked = minhash.link(keyed.select(F.col("_row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_row"), "component_id", "n_shingles")
+    ranked = keyed.select("_row", F.struct(
+        F.col("doc_id").isNull().alias("unnamed"), "doc_id",
+        F.xxhash64(*docs.columns).alias("tie"), "_row").alias("_rank"))
+    wordless = (F.col("n_shingles") == 0) & F.col("_rank.doc_id").isNotNull()
+    kept = (linked.join(ranked, "_row")
+            .groupBy(wordless.alias("wordless"),
+                     F.when(wordless, F.col("_rank.doc_id").cast("bigint")).otherwise(
+                         F.col("component_id")).alias("group"))
+            .agg(F.min("_rank").alias("_rank")).select("_rank._row"))
+    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

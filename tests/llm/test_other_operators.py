@@ -109,3 +109,18 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF_DIR)
     assert {r[0] for r in rows.select("doc_id").distinct().collect()} == {
         r[0] for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_near_copies_with_repeated_and_missing_ids(spark):
+    def words(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [(1, words("a")), (1, words("b")), (1, words("a")), (2, words("a") + " more"),
+            (None, words("c")), (None, words("c")), (None, words("b")), (None, words("d")),
+            (3, None), (3, None), (4, ""), (None, None), (5, words("e")), (5, words("e"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = Counter([(1, words("a")), (1, words("b")), (None, words("c")), (None, words("d")),
+                    (3, None), (4, ""), (None, None), (5, words("e"))])
+    for given in (docs.repartition(5), docs.orderBy(docs.text.desc()).coalesce(1)):
+        kept = corpus_pipeline.drop_near_copies(spark, given, SF_DIR)
+        assert Counter(map(tuple, kept.collect())) == want
