@@ -34,7 +34,7 @@ def encoder(path: str, specials: bool = False) -> "WordEncoder":
     return _encoders[path, specials]
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {byte: chr(byte) for byte in shown}
@@ -77,7 +77,7 @@ class WordEncoder:
         self._lowers = "Lowercase" in json.dumps(parts["normalizer"])
         # Where white space has ids, a word carries the space before it.
         self._keeps_space = bool(self._tokenizer.encode(" ", add_special_tokens=False).ids)
-        self._letters = _byte_letters()
+        self._letters = byte_letters()
         self._merge = self._tokenizer.model.tokenize
         self._words = _Known(lambda known, word: self._find(known, word, ""))
         self._spaced = _Known(lambda known, word: self._find(known, word, " "))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm import secrets
+from webstrata.llm.alignment import align
 from webstrata.llm.archive import read_archive, write_archive
 from webstrata.llm.embeddings import link_vectors
 from webstrata.llm.merkle import COLUMNS, build_manifest, leaf_digest, prove
@@ -81,6 +82,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -110,6 +117,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_source_mix": op13_source_mix,
 }
