@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from webstrata.functions.keys import request_key
 from webstrata.functions.urls import url_host
 from webstrata.operators.filters import recordable
+from webstrata.operators.late import PLACE, fetch, with_place
+from webstrata.operators.lookups import absent_keys
 from webstrata.operators.ordered import lay_out, rank_in_group
 
 
@@ -39,6 +41,33 @@ def dedup_calls(calls: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return calls.join(winners.hint("shuffle_hash"), "call_id")
 
 
+def first_places(calls: DataFrame, stored: DataFrame | None = None,
+                 buckets: int | None = None) -> DataFrame:
+    """``request_key, call_id, file_path, row_index`` of the first recordable call per request key.
+
+    ``calls`` is a direct read of Parquet files. Requests whose key is in ``stored``, a store in so
+    many ``buckets``, are left out.
+    """
+    keyed = with_request_key(recordable(with_place(calls))).select(
+        "request_key", "ts", "call_id", *PLACE).where(F.col("request_key").isNotNull())
+    first = keyed.groupBy("request_key").agg(F.min(F.struct("ts", "call_id", *PLACE)).alias("first"))
+    winners = first.select("request_key", *[F.col(f"first.{c}").alias(c)
+                                            for c in ("call_id", *PLACE)])
+    if stored is not None:
+        winners = absent_keys(winners, stored, buckets)
+    return winners
+
+
+def dedup_call_files(calls: DataFrame, stored: DataFrame | None = None,
+                     buckets: int | None = None) -> DataFrame:
+    """`dedup_calls` over calls read from Parquet files, without a shuffle of any body.
+
+    Winners are known by their place in the files, where their rows are then read; rows of losers
+    are dropped in the scan.
+    """
+    return with_request_key(fetch(calls, first_places(calls, stored, buckets)))
+
+
 def unvisited(candidates: DataFrame, visited: DataFrame, key: str = "url") -> DataFrame:
     """Distinct candidate keys that were never visited.
 

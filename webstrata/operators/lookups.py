@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions.urls import canonical_url
-from webstrata.operators.skew import salted_lookup
+from webstrata.operators.skew import hot_keys, salted_lookup
 
 
 def lookup_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
@@ -29,6 +29,52 @@ def uncached_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
                          ["call_id"], "left_anti")
 
 
+def _beside(rows: DataFrame, stored: DataFrame, buckets: int | None) -> DataFrame:
+    """Left join of narrow rows with a store; the rows are hashed and the store streams by.
+
+    Where the store lies in buckets of request_key, rows are dealt like them: nothing of the store
+    is shuffled or sorted. Left to itself, Spark would rather move the store than fewer tasks.
+    """
+    dealt = rows.repartition(buckets, "request_key") if buckets else rows
+    return dealt.hint("shuffle_hash").join(stored, "request_key", "left")
+
+
+def absent_keys(rows: DataFrame, stored: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Rows, at most one per ``request_key``, whose key is not stored."""
+    held = stored.select("request_key", F.lit(True).alias("_held"))
+    return _beside(rows, held, buckets).where(F.col("_held").isNull()).drop("_held")
+
+
+def lookup_stored(requests: DataFrame, stored: DataFrame, buckets: int | None) -> DataFrame:
+    """`lookup_responses` against a store that lies in ``buckets`` of its ``request_key``.
+
+    Requests go to the bucket of their key, and bodies are read there. Requests of hot keys, below
+    `skew.HOT_SHARE` of them, would crowd a bucket: they meet their few stored responses, found
+    by a condition on the key that prunes buckets and row groups, in a salted join of their own.
+    """
+    stored = stored.select(
+        "request_key", F.col("status").alias("stored_status"),
+        F.col("resp_headers").alias("stored_headers"), F.col("resp_body").alias("stored_body"),
+        F.lit(True).alias("is_hit"))
+    hot = [row[0] for row in hot_keys(requests, "request_key").select("request_key").collect()]
+    is_hot = F.coalesce(F.col("request_key").isin(hot), F.lit(False)) if hot else F.lit(False)
+    found = _beside(requests.where(~is_hot), stored, buckets)
+    if hot:
+        found = found.unionByName(salted_lookup(
+            requests.where(is_hot), stored.where(F.col("request_key").isin(hot)), "request_key",
+            ["call_id"]))
+    return found.withColumn("is_hit", F.coalesce("is_hit", F.lit(False)))
+
+
+def uncached_stored(requests: DataFrame, stored: DataFrame, buckets: int | None) -> DataFrame:
+    """`uncached_requests` against such a store: distinct keys meet it, then the requests theirs."""
+    missing = absent_keys(requests.select("request_key").where(
+        F.col("request_key").isNotNull()).distinct(), stored, buckets)
+    hits = salted_lookup(requests, missing.withColumn("_missing", F.lit(True)), "request_key",
+                         ["call_id"])
+    return hits.where(F.col("_missing") | F.col("request_key").isNull()).drop("_missing")
+
+
 def drop_omitted(refs: DataFrame, omissions: DataFrame) -> DataFrame:
     """References whose own raw URL is not in the omission set of their visit."""
     omitted = omissions.select("visit_id", F.col("uri").alias("url")).distinct()

@@ -345,3 +345,7 @@ SELECT node FROM reached""",
     "t1_stream_record": f"WITH {_CALLS} SELECT request_key FROM firsts",
     "t2_stream_stable": _D4,
 }
+
+# The same rows by another plan.
+ORACLES["j2_plain_lookup"] = ORACLES["j2_response_lookup"]
+ORACLES["d1_dedup_derived"] = ORACLES["d1_dedup_calls"]

@@ -114,10 +114,16 @@ def s6_call_log(spark, sf_dir):
     return call_source.call_log(filters.recordable(t.calls(spark, sf_dir)))
 
 
+def _call_files(spark, sf_dir) -> DataFrame:
+    path = work_path(spark, "calls")
+    t.calls(spark, sf_dir).write.parquet(path)
+    return call_source.read_calls(spark, path)
+
+
 @query
 def s7_response_store(spark, sf_dir):
     path = work_path(spark, "store")
-    store.save_responses(t.calls(spark, sf_dir), path)
+    store.save_responses(_call_files(spark, sf_dir), path)
     return store.read_responses(spark, path).select(
         "request_key", "call_id", "status", F.md5("resp_body").alias("body_md5"))
 
@@ -401,11 +407,19 @@ def j1_seed_scope_long_list(spark, sf_dir):
     return scope.seed_scope(_subdomains(spark, sf_dir), seed_hosts, True)
 
 
+def _stored(spark, sf_dir) -> tuple[DataFrame, int | None]:
+    """Successful page fetches of a store, and its buckets: chat turns and errors are misses."""
+    path = work_path(spark, "store")
+    store.save_responses(t.calls(spark, sf_dir).where(F.col("method") == "GET"), path)
+    rows = store.read_responses(spark, path).where(F.col("status") == 200)
+    return rows, store.store_buckets(spark, path)
+
+
 @query
 def j2_response_lookup(spark, sf_dir):
     requests = dedup.with_request_key(t.calls(spark, sf_dir)).select(
         "call_id", "method", "request_key")
-    found = lookups.lookup_responses(requests, t.responses(spark, sf_dir))
+    found = lookups.lookup_stored(requests, *_stored(spark, sf_dir))
     return found.select("call_id", "request_key", "is_hit", "stored_status",
                         F.md5("stored_body").alias("stored_md5"))
 
@@ -413,7 +427,17 @@ def j2_response_lookup(spark, sf_dir):
 @query
 def j2_uncached(spark, sf_dir):
     requests = dedup.with_request_key(t.calls(spark, sf_dir)).select("call_id", "request_key")
-    return lookups.uncached_requests(requests, t.responses(spark, sf_dir)).select("call_id")
+    return lookups.uncached_stored(requests, *_stored(spark, sf_dir)).select("call_id")
+
+
+@query
+def j2_plain_lookup(spark, sf_dir):
+    """Responses that lie in no buckets: a salted join."""
+    requests = dedup.with_request_key(t.calls(spark, sf_dir)).select(
+        "call_id", "method", "request_key")
+    found = lookups.lookup_responses(requests, t.responses(spark, sf_dir))
+    return found.select("call_id", "request_key", "is_hit", "stored_status",
+                        F.md5("stored_body").alias("stored_md5"))
 
 
 @query
@@ -447,6 +471,13 @@ def j6_pair_records(spark, sf_dir):
 
 @query
 def d1_dedup_calls(spark, sf_dir):
+    return dedup.dedup_call_files(_call_files(spark, sf_dir)).select(
+        "call_id", "request_key", "status", F.md5("resp_body").alias("body_md5"))
+
+
+@query
+def d1_dedup_derived(spark, sf_dir):
+    """Calls that come from no files: bodies join by the unique call_id."""
     return dedup.dedup_calls(t.calls(spark, sf_dir)).select(
         "call_id", "request_key", "status", F.md5("resp_body").alias("body_md5"))
 
