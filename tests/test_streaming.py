@@ -9,7 +9,7 @@ from webstrata.sources.sinks import LogSink, ResponseStoreSink, WarcSink
 from webstrata.sources.store import read_responses
 from webstrata.sources.warc import read_warc
 from webstrata.streaming.record import (_record_batch, finish_record, read_recorded,
-                                        stream_record)
+                                        record_files, stream_record)
 from webstrata.streaming.stability import finish_stable, stream_stable
 from webstrata.options import CaptureOptions
 
@@ -143,3 +143,36 @@ def test_open_keys_time_out_when_the_stream_ends(spark, folder):
     shown = spark.read.schema(schema).parquet(f"{folder}/in")
     want = sorted(map(tuple, first_stable(shown, timeout_ms=20_000).collect()))
     assert got == want and {r.key for r in rest.collect()} == {1, 2, 5}
+
+
+def test_files_are_recorded_from_state(spark, folder):
+    """Each micro-batch reads its own rows alone, and sinks get the first calls once."""
+    opts = CaptureOptions(store_path=f"{folder}/store", clear_store_on_init=True)
+    read, ids = [], []
+    batches = BATCHES + [[(9, 1, "a"), (10, 2, "e")], [(11, 9100, "a#x"), (12, 9101, "e")]]
+    for batch in batches:
+        _calls(spark, batch).coalesce(1).write.mode("append").parquet(f"{folder}/in dir")
+        sink = Remember()
+        query = record_files(spark, f"{folder}/in dir", f"{folder}/out",
+                             [sink, ResponseStoreSink()], opts).option(
+            "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        read += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+        ids += [i for run in sink.ids for i in run]
+    # A later batch's earlier call of a known request is no first call.
+    assert sorted(ids) == [1, 3, 5, 6, 7, 10]
+    assert read == [len(batch) for batch in batches]
+    recorded = read_recorded(spark, f"{folder}/out")
+    assert sorted(r.call_id for r in recorded.collect()) == [1, 3, 5, 6, 7, 10]
+    assert {bytes(r.resp_body) for r in recorded.collect()} == {b"x"}
+    assert sorted(r.call_id for r in read_responses(spark, f"{folder}/store").collect()) == [
+        1, 3, 5, 6, 7, 10]
+
+
+def test_many_files_in_one_batch(spark, folder):
+    rows = [(i, i % 97, f"p{i % 50}") for i in range(1000)]
+    _calls(spark, rows).repartition(7).write.parquet(f"{folder}/in")
+    record_files(spark, f"{folder}/in", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    want = {r.call_id for r in first_calls(_calls(spark, rows)).collect()}
+    assert {r.call_id for r in read_recorded(spark, f"{folder}/out").collect()} == want

@@ -342,10 +342,12 @@ reached(node) AS (
   UNION
   SELECT dst FROM reached JOIN edges ON src = node)
 SELECT node FROM reached""",
-    "t1_stream_record": f"WITH {_CALLS} SELECT request_key FROM firsts",
+    "t1_stream_record": f"""
+WITH {_CALLS} SELECT request_key, call_id, status, md5(resp_body) AS body_md5 FROM firsts""",
     "t2_stream_stable": _D4,
 }
 
 # The same rows by another plan.
 ORACLES["j2_plain_lookup"] = ORACLES["j2_response_lookup"]
 ORACLES["d1_dedup_derived"] = ORACLES["d1_dedup_calls"]
+ORACLES["t1_stream_record_any_source"] = ORACLES["t1_stream_record"]

@@ -15,7 +15,7 @@ from webstrata.plans import tables as t
 from webstrata.session import work_path
 from webstrata.sources import calls as call_source
 from webstrata.sources import cdx, seeds, sinks, store, warc
-from webstrata.streaming.record import read_recorded, stream_record
+from webstrata.streaming.record import read_recorded, record_files, stream_record
 from webstrata.streaming.stability import OUTPUT, finish_stable, stream_stable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -558,18 +558,42 @@ def i4_reachable(spark, sf_dir):
 
 # Streaming
 
+def _arrivals(spark, sf_dir) -> tuple[str, DataFrame]:
+    """A folder that got the calls in four files, in the order of their time."""
+    root, calls = work_path(spark, "stream"), t.calls(spark, sf_dir)
+    hours = (0, 1, 5, 24, 1 << 20)
+    for low, high in zip(hours, hours[1:]):
+        hour = F.floor((F.unix_millis("ts") - t.START_MS) / 3_600_000)
+        calls.where((hour >= low) & (hour < high)).coalesce(1).write.mode("append").parquet(
+            f"{root}/in")
+    return root, calls
+
+
+def _recorded(spark, root) -> DataFrame:
+    return read_recorded(spark, f"{root}/out").select(
+        "request_key", "call_id", "status", F.md5("resp_body").alias("body_md5"))
+
+
 @query
 def t1_stream_record(spark, sf_dir):
-    """The calls as a stream of files, recorded once each; equals the batch form."""
-    root = work_path(spark, "stream")
-    calls = t.calls(spark, sf_dir)
-    calls.repartitionByRange(3, "ts").write.parquet(f"{root}/in")
+    """The calls as a stream of files, one to a micro-batch, recorded once each from keyed state."""
+    root, _ = _arrivals(spark, sf_dir)
+    record_files(spark, f"{root}/in", f"{root}/out", max_files=1).option(
+        "checkpointLocation", f"{root}/state").trigger(availableNow=True).start(
+    ).awaitTermination()
+    return _recorded(spark, root)
+
+
+@query
+def t1_stream_record_any_source(spark, sf_dir):
+    """The same by the form for streams of any source, against the recorded keys."""
+    root, calls = _arrivals(spark, sf_dir)
     stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(
         f"{root}/in")
     stream_record(stream, f"{root}/out").option(
         "checkpointLocation", f"{root}/state").trigger(availableNow=True).start(
     ).awaitTermination()
-    return read_recorded(spark, f"{root}/out").select("request_key")
+    return _recorded(spark, root)
 
 
 @query

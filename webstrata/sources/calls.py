@@ -12,8 +12,8 @@ CALL_COLUMNS = ("call_id", "ts", "method", "uri", "req_headers", "req_body", "st
                 "resp_headers", "resp_body")
 
 
-def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CALL_SCHEMA).parquet(path)
+def read_calls(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.schema(CALL_SCHEMA).parquet(*paths)
 
 
 def calls_from_pages(pages: DataFrame, ts: Column | None = None) -> DataFrame:
