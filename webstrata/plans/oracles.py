@@ -123,8 +123,13 @@ SELECT array_to_string(list_reverse(string_split(
        strftime(make_timestamp(ms * 1000), '%Y%m%d%H%M%S') AS ts, uri AS url,
        CASE WHEN call_id % 7 = 0 THEN 'application/xhtml+xml' ELSE 'text/html' END AS mime,
        CAST(status AS VARCHAR) AS status, '-' AS redirect, '-' AS meta,
-       32 AS digest_length, TRUE AS has_offset
-FROM (SELECT *, lower(regexp_extract(canonical, '^https?://[^/?#]+([^?#]*)', 1)) AS path
+       array_to_string(list_transform(range(32), lambda i: substring(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substring(sha, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT)
+          & 31)::INT + 1, 1)), '') AS digest,
+       TRUE AS has_offset, TRUE AS in_place
+FROM (SELECT *, lower(regexp_extract(canonical, '^https?://[^/?#]+([^?#]*)', 1)) AS path,
+             sha1(resp_body) AS sha
       FROM keyed WHERE status IS NOT NULL)""",
     "s5_cdx_range_read": _ARCHIVED,
     "s6_call_log": f"""
@@ -351,3 +356,4 @@ WITH {_CALLS} SELECT request_key, call_id, status, md5(resp_body) AS body_md5 FR
 ORACLES["j2_plain_lookup"] = ORACLES["j2_response_lookup"]
 ORACLES["d1_dedup_derived"] = ORACLES["d1_dedup_calls"]
 ORACLES["t1_stream_record_any_source"] = ORACLES["t1_stream_record"]
+ORACLES["s3_warc_compressed"] = ORACLES["s3_warc_source"]

@@ -88,22 +88,40 @@ def s4_warc_sink(spark, sf_dir):
         _flat("resp_headers").alias("resp_headers"), F.md5("resp_body").alias("resp_md5"))
 
 
+@query
+def s3_warc_compressed(spark, sf_dir):
+    """Shards of gzip members, indexed and read in ranges: the same records as plain ones."""
+    path = work_path(spark, "warc")
+    warc.write_warc(t.calls(spark, sf_dir), path, compress=True)
+    index = cdx.cdx_index(warc.read_warc(spark, path, payload=False))
+    records = warc.read_warc(spark, path, cdx=index, split_bytes=4096)
+    return records.where(F.col("warc_type").isin("request", "response")).select(
+        "warc_type", F.col("target_uri").alias("uri"), F.unix_millis("date").alias("date_ms"),
+        "http_method", "http_status", F.md5("payload").alias("payload_md5"))
+
+
 @query
 def s5_cdx_index(spark, sf_dir):
-    path = work_path(spark, "cdx")
-    cdx.write_cdx(cdx.cdx_index(warc.read_warc(spark, _archive(spark, sf_dir), payload=False)),
-                  path)
-    return cdx.read_cdx(spark, path).select(
-        "urlkey", "ts", "url", "mime", "status", "redirect", "meta",
-        F.length("digest").alias("digest_length"), (F.col("offset") > 0).alias("has_offset"))
+    """The index as read back; its places are those where a plain read finds the records."""
+    archive, path = _archive(spark, sf_dir), work_path(spark, "cdx")
+    records = warc.read_warc(spark, archive, payload=False)
+    cdx.write_cdx(cdx.cdx_index(records), path)
+    there = records.select("filename", "offset", F.col("length").alias("there"),
+                           F.col("target_uri").alias("uri"))
+    listed = cdx.read_cdx(spark, path).join(there, ["filename", "offset"], "left")
+    return listed.select(
+        "urlkey", "ts", "url", "mime", "status", "redirect", "meta", "digest",
+        (F.col("offset") > 0).alias("has_offset"),
+        F.coalesce((F.col("length") == F.col("there")) & (F.col("url") == F.col("uri")),
+                   F.lit(False)).alias("in_place"))
 
 
 @query
 def s5_cdx_range_read(spark, sf_dir):
-    """Reads shards in ranges cut at indexed offsets: the same records as a plain read."""
+    """Reads shards in ranges found through the index: the same records as a plain read."""
     path = _archive(spark, sf_dir)
     index = cdx.cdx_index(warc.read_warc(spark, path, payload=False))
-    records = warc.read_warc(spark, path, cdx=index)
+    records = warc.read_warc(spark, path, cdx=index, split_bytes=4096)
     return records.where(F.col("warc_type") == "response").select(
         F.col("target_uri").alias("uri"), F.col("http_status").alias("status"),
         F.md5("payload").alias("payload_md5"))

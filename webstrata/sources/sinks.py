@@ -41,7 +41,9 @@ class WarcSink:
         write_warc(calls, opts.warc_path, job=f"batch{batch_id}")
 
     def close(self, spark, opts: CaptureOptions) -> None:
-        write_cdx(cdx_index(read_warc(spark, opts.warc_path, payload=False)), opts.cdx_path)
+        # What cannot be read is left out of the index, as what comes behind it in the shard.
+        records = read_warc(spark, opts.warc_path, payload=False, strict=False)
+        write_cdx(cdx_index(records), opts.cdx_path)
 
 
 class LogSink:

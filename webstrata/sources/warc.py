@@ -1,22 +1,29 @@
 """WARC archives as a Spark data source: sharded writer, streaming reader.
 
 Registered as format ``warc``. The writer takes calls and writes, per task, shards of a
-bounded size that start with their own warcinfo record. The reader yields one row per
-record, with its file, offset and length, one task per shard or per byte range.
+bounded size that start with their own warcinfo record; compressed ones have one gzip member per
+record. The reader yields one row per record, with its file, offset and length in the file.
+
+Shards are read whole, or in byte ranges planned from their sizes alone. A range reads the records
+that begin in it: its task finds the first one from a sparse index, a small file per shard of the
+offsets of some records, and walks on from there. Neither the driver nor an option holds offsets.
 """
 
 from __future__ import annotations
 
 import base64
 import datetime
+import gzip
 import hashlib
 import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +46,9 @@ _ARROW_SCHEMA = pa.schema([
 
 SHARD_BYTES = 1 << 30
 SPLIT_BYTES = 256 << 20
+INDEX_BYTES = 64 << 10  # stretches with one offset each in a sparse index
 BATCH_BYTES = 32 << 20
+BROKEN = "broken"  # type of the row that tells where a shard could not be read on
 SOFTWARE = "webstrata"
 _ID_SPACE = uuid.UUID("6f4a3a0e-52c4-5e0e-9a0b-0c5f6a1d7b11")
 _EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
@@ -90,7 +99,7 @@ def _http_headers(headers: list[dict] | None, body: bytes | None) -> bytes:
     return _header_lines(pairs)
 
 
-def call_records(call: dict) -> bytes:
+def call_records(call: dict) -> list[bytes]:
     """The request record and the response record of one call, sharing their date."""
     date, uri = _millis(call["ts"]), call["uri"]
     ids = [f"<urn:uuid:{uuid.uuid5(_ID_SPACE, repr((part, call['call_id'], date, uri)))}>"
@@ -102,10 +111,10 @@ def call_records(call: dict) -> bytes:
     response = (f"HTTP/1.1 {call['status']} \r\n".encode("ascii")
                 + _http_headers(call["resp_headers"], payload) + b"\r\n" + payload)
     target = ("WARC-Target-URI", uri)
-    return (_record("request", ids[0], date, "application/http; msgtype=request", request,
-                    [target])
-            + _record("response", ids[1], date, "application/http; msgtype=response", response,
-                      [target, ("WARC-Concurrent-To", ids[0])]))
+    return [_record("request", ids[0], date, "application/http; msgtype=request", request,
+                    [target]),
+            _record("response", ids[1], date, "application/http; msgtype=response", response,
+                    [target, ("WARC-Concurrent-To", ids[0])])]
 
 
 @dataclass
@@ -116,8 +125,11 @@ class _Shards(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Writes shards under attempt-specific names; the commit gives them their final ones."""
 
-    def __init__(self, path: str, shard_bytes: int, overwrite: bool, job: str | None) -> None:
+    def __init__(self, path: str, shard_bytes: int, overwrite: bool, job: str | None,
+                 compress: bool = False) -> None:
         self.path, self.shard_bytes, self.overwrite = path, shard_bytes, overwrite
+        self.suffix = ".warc.gz" if compress else ".warc"
+        self.packed = (lambda record: gzip.compress(record, mtime=0)) if compress else bytes
         self.job, self.named = job or uuid.uuid4().hex[:12], job is not None
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -137,15 +149,16 @@ class WarcWriter(DataSourceArrowWriter):
                     if stream is None or size >= self.shard_bytes:
                         if stream is not None:
                             stream.close()
-                        name = f"part-{context.partitionId():06d}-{len(moves):04d}-{self.job}.warc"
+                        name = f"part-{context.partitionId():06d}-{len(moves):04d}-{self.job}{self.suffix}"
                         temporary = f"{root}/_{name}.{context.taskAttemptId()}"
                         moves.append((temporary, f"{root}/{name}"))
                         stream, size = system.open_output_stream(temporary), 0
                         info = f"software: {SOFTWARE}\r\n".encode()
-                        size += stream.write(_record(
+                        size += stream.write(self.packed(_record(
                             "warcinfo", f"<urn:uuid:{uuid.uuid5(_ID_SPACE, name)}>",
-                            _millis(call["ts"]), "application/warc-fields", info, []))
-                    size += stream.write(call_records(call))
+                            _millis(call["ts"]), "application/warc-fields", info, [])))
+                    for record in call_records(call):
+                        size += stream.write(self.packed(record))
         finally:
             if stream is not None:
                 stream.close()
@@ -154,7 +167,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = _file_system(self.path)
         old = [info for info in _shard_files(self.path) if self.overwrite or (
-            self.named and info.base_name.endswith(f"-{self.job}.warc"))]
+            self.named and info.base_name.endswith((f"-{self.job}.warc", f"-{self.job}.warc.gz")))]
         new = {final.rsplit("/", 1)[-1] for message in messages
                for _, final in (message.moves if message else [])}
         for message in messages:
@@ -223,18 +236,130 @@ def _parse_date(text: str | None) -> datetime.datetime | None:
     return datetime.datetime.fromisoformat(text.replace("Z", "+00:00"))
 
 
+class _Plain:
+    """Records of an uncompressed shard, from an offset on."""
+
+    def __init__(self, raw, name: str, offset: int) -> None:
+        raw.seek(offset)
+        self._stream, self._name, self.offset = io.BufferedReader(raw, 1 << 20), name, offset
+
+    def next(self) -> tuple[dict, bytes, int] | None:
+        """Fields, block and length of the record at ``offset``; the next one is then there."""
+        found = _read_record(self._stream, self._name, self.offset)
+        if found is not None:
+            self.offset += found[2]
+        return found
+
+    def skip(self) -> bool:
+        head = _read_head(self._stream, self._name, self.offset)
+        if head is None:
+            return False
+        length = head[1] + int(head[0]["content-length"]) + 4
+        self.offset += length
+        self._stream.seek(self.offset)
+        return True
+
+
+class _Members:
+    """Records of a shard of gzip members, one each, from the offset of a member on."""
+
+    def __init__(self, raw, name: str, offset: int) -> None:
+        raw.seek(offset)
+        self._raw, self._name, self.offset, self._held = raw, name, offset, b""
+
+    def _member(self) -> tuple[bytes, int] | None:
+        parts, used, unpack = [], 0, zlib.decompressobj(31)
+        while not unpack.eof:
+            data = self._held or self._raw.read(1 << 18)
+            if not data:
+                if not used:
+                    return None
+                raise ValueError(f"{self._name}: cut off record at {self.offset}")
+            try:
+                parts.append(unpack.decompress(data))
+            except zlib.error as error:
+                raise ValueError(f"{self._name}: broken member at {self.offset}: {error}") from error
+            used += len(data) - len(unpack.unused_data)
+            self._held = unpack.unused_data
+        return b"".join(parts), used
+
+    def next(self) -> tuple[dict, bytes, int] | None:
+        member = self._member()
+        if member is None:
+            return None
+        data, length = member
+        found = _read_record(io.BytesIO(data), self._name, self.offset)
+        if found is None or found[2] != len(data):
+            raise ValueError(f"{self._name}: not one record in the member at {self.offset}")
+        self.offset += length
+        return found[0], found[1], length
+
+    def skip(self) -> bool:
+        member = self._member()
+        if member is None:
+            return False
+        self.offset += member[1]
+        return True
+
+
+def _read_head(stream, name: str, offset: int) -> tuple[dict, int] | None:
+    """Fields of the record that begins here, names in lower case, and the length of its head."""
+    head = [stream.readline()]
+    if not head[0]:
+        return None
+    if not head[0].startswith(b"WARC/"):
+        raise ValueError(f"{name}: no record at {offset}")
+    while head[-1] not in (b"\r\n", b""):
+        head.append(stream.readline())
+    lines = [line.rstrip(b"\r\n") for line in head[1:-1]]
+    fields = {key.lower(): value for key, value in _fields(lines)}
+    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+        raise ValueError(f"{name}: cut off record at {offset}")
+    return fields, sum(map(len, head))
+
+
+def _read_record(stream, name: str, offset: int) -> tuple[dict, bytes, int] | None:
+    head = _read_head(stream, name, offset)
+    if head is None:
+        return None
+    size = int(head[0]["content-length"])
+    block = stream.read(size)
+    if len(block) != size or stream.read(4) != b"\r\n\r\n":
+        raise ValueError(f"{name}: cut off record at {offset}")
+    return head[0], block, head[1] + size + 4
+
+
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, ranges: dict[str, list[int]], keep_payload: bool) -> None:
+    def __init__(self, path: str, ranges: dict[str, list[int]], keep_payload: bool,
+                 index: str | None = None, split_bytes: int = SPLIT_BYTES,
+                 strict: bool = True) -> None:
         self.path, self.ranges, self.keep_payload = path, ranges, keep_payload
+        self.index, self.split_bytes, self.strict = index, split_bytes, strict
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
         for info in _shard_files(self.path):
-            cuts = [0, *(c for c in self.ranges.get(info.base_name, []) if 0 < c < info.size),
-                    info.size]
+            if self.index is not None:
+                cuts = [*range(0, info.size, self.split_bytes), info.size]
+            else:
+                cuts = [0, *(c for c in self.ranges.get(info.base_name, []) if 0 < c < info.size),
+                        info.size]
             parts.extend(_Range(info.path, a, b) for a, b in zip(cuts, cuts[1:]))
         return parts or [_Range("", 0, 0)]
 
+    def _known_start(self, name: str, start: int) -> int:
+        """The last indexed offset of a shard that does not lie behind ``start``."""
+        if self.index is None or not start:
+            return start
+        system, root = _file_system(self.index)
+        file = f"{root}/{name}.idx"
+        if system.get_file_info(file).type != pyarrow.fs.FileType.File:
+            return 0
+        with system.open_input_file(file) as stream:
+            offsets = np.frombuffer(stream.read(), "<i8")
+        at = int(np.searchsorted(offsets, start, "right"))
+        return int(offsets[at - 1]) if at else 0
+
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
@@ -242,37 +367,30 @@ class WarcReader(DataSourceReader):
         name = partition.path.rsplit("/", 1)[-1]
         rows, held = [], 0
         with system.open_input_file(partition.path) as raw:
-            raw.seek(partition.start)
-            stream = io.BufferedReader(raw, 1 << 20)
-            offset = partition.start
-            while offset < partition.end:
-                row, length = self._record(stream, name, offset)
-                if row is None:
-                    break
-                offset += length
-                rows.append(row)
-                held += length if self.keep_payload else 1024
-                if held >= BATCH_BYTES:
-                    yield self._batch(rows)
-                    rows, held = [], 0
+            kind = _Members if name.endswith(".gz") else _Plain
+            records = kind(raw, name, self._known_start(name, partition.start))
+            try:
+                while records.offset < partition.start and records.skip():
+                    pass  # records of the ranges before
+                while partition.start <= records.offset < partition.end:
+                    offset, found = records.offset, records.next()
+                    if found is None:
+                        break
+                    rows.append(self._row(name, offset, *found))
+                    held += found[2] if self.keep_payload else 1024
+                    if held >= BATCH_BYTES:
+                        yield self._batch(rows)
+                        rows, held = [], 0
+            except ValueError as error:
+                if self.strict:
+                    raise
+                if records.offset >= partition.start:
+                    rows.append((name, records.offset, None, BROKEN, str(error), *[None] * 8))
         if rows:
             yield self._batch(rows)
 
-    def _record(self, stream, name: str, offset: int) -> tuple[tuple | None, int]:
-        head = [stream.readline()]
-        if not head[0]:
-            return None, 0
-        if not head[0].startswith(b"WARC/"):
-            raise ValueError(f"{name}: no record at {offset}")
-        while head[-1] not in (b"\r\n", b""):
-            head.append(stream.readline())
-        lines = [line.rstrip(b"\r\n") for line in head[1:-1]]
-        fields = {key.lower(): value for key, value in _fields(lines)}
-        size = int(fields["content-length"])
-        block = stream.read(size)
-        if len(block) != size or stream.read(4) != b"\r\n\r\n":
-            raise ValueError(f"{name}: cut off record at {offset}")
-        kind, length = fields["warc-type"], sum(map(len, head)) + size + 4
+    def _row(self, name: str, offset: int, fields: dict, block: bytes, length: int) -> tuple:
+        kind = fields["warc-type"]
         method = status = headers = payload = digest = None
         if kind in ("request", "response") and fields.get("content-type", "").startswith(
                 "application/http"):
@@ -281,7 +399,7 @@ class WarcReader(DataSourceReader):
         return (name, offset, length, kind, fields.get("warc-record-id"),
                 fields.get("warc-concurrent-to"), fields.get("warc-target-uri"),
                 _parse_date(fields.get("warc-date")), method, status, headers,
-                payload if self.keep_payload else None, digest), length
+                payload if self.keep_payload else None, digest)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -300,12 +418,16 @@ class WarcDataSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return WarcReader(self.options["path"], json.loads(self.options.get("ranges", "{}")),
-                          self.options.get("payload", "true").lower() == "true")
+                          self.options.get("payload", "true").lower() == "true",
+                          self.options.get("index"),
+                          int(self.options.get("splitbytes", SPLIT_BYTES)),
+                          self.options.get("strict", "true").lower() == "true")
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return WarcWriter(self.options["path"],
                           int(self.options.get("shardbytes", SHARD_BYTES)), overwrite,
-                          self.options.get("job"))
+                          self.options.get("job"),
+                          self.options.get("compress", "false").lower() == "true")
 
 
 def register_warc(spark: SparkSession) -> None:
@@ -313,31 +435,71 @@ def register_warc(spark: SparkSession) -> None:
 
 
 def write_warc(calls: DataFrame, path: str, mode: str = "append",
-               shard_bytes: int = SHARD_BYTES, job: str | None = None) -> None:
+               shard_bytes: int = SHARD_BYTES, job: str | None = None,
+               compress: bool = False) -> None:
     """Write calls that got a response as WARC shards below ``path``.
 
-    Shards of a named ``job`` replace those it left before.
+    Shards of a named ``job`` replace those it left before. With ``compress`` each record is a gzip
+    member of a ``.warc.gz`` shard.
     """
     from webstrata.sources.calls import CALL_COLUMNS
 
     register_warc(calls.sparkSession)
     writer = (calls.where(F.col("status").isNotNull()).select(*CALL_COLUMNS).write.format("warc")
-              .mode(mode).option("shardBytes", str(shard_bytes)))
+              .mode(mode).option("shardBytes", str(shard_bytes))
+              .option("compress", str(compress).lower()))
     (writer.option("job", job) if job else writer).save(path)
 
 
-def read_warc(spark: SparkSession, path: str, cdx: DataFrame | None = None,
-              payload: bool = True) -> DataFrame:
-    """Records of the shards below ``path``, or of one file.
+def write_offsets(records: DataFrame, index: str, block_bytes: int = INDEX_BYTES) -> None:
+    """A sparse index of shards: a file each, below ``index``, of offsets in ascending order.
+
+    ``records`` needs filename and offset: records as read, or a CDX. The first offset of each
+    stretch of ``block_bytes`` is kept, so that a shard's file is a few thousandths of a percent of it.
+    """
+    from webstrata.session import cut_lineage
 
-    A ``cdx`` of the same files lets large ones be read in ranges. Without ``payload``
-    the payload column is NULL.
+    stretches = records.where(F.col("offset").isNotNull()).groupBy(
+        "filename", F.floor(F.col("offset") / block_bytes).alias("stretch")).agg(
+        F.min("offset").alias("offset"))
+    shards = stretches.groupBy("filename").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, root = _file_system(index)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, offsets in zip(batch.column("filename").to_pylist(),
+                                     batch.column("offsets").to_pylist()):
+                own = f"{root}/_{name}.{TaskContext.get().taskAttemptId()}"
+                with system.open_output_stream(own) as stream:
+                    stream.write(np.array(offsets, "<i8").tobytes())
+                system.move(own, f"{root}/{name}.idx")  # whole or not at all
+            yield pa.RecordBatch.from_arrays([batch.column("filename")], names=["filename"])
+
+    cut_lineage(shards.mapInArrow(write, "filename string"))
+
+
+def read_warc(spark: SparkSession, path: str, cdx: DataFrame | None = None,
+              payload: bool = True, split_bytes: int = SPLIT_BYTES, index: str | None = None,
+              strict: bool = True) -> DataFrame:
+    """Records of the shards below ``path``, or of one file, plain or compressed.
+
+    With ``index``, the folder of a sparse index made by `write_offsets`, shards are read in ranges
+    of ``split_bytes``; a ``cdx`` of the same files is such an index, made first. Without
+    ``payload`` the payload column is NULL. Unless ``strict``, a record that cannot be read ends
+    its range with a row of type `BROKEN` that tells where and why.
     """
+    from webstrata.session import work_path
+
     register_warc(spark)
-    reader = spark.read.format("warc").option("payload", str(payload).lower())
-    if cdx is not None:
-        reader = reader.option("ranges", json.dumps(split_points(cdx)))
-    return reader.load(path)
+    reader = (spark.read.format("warc").option("payload", str(payload).lower())
+              .option("strict", str(strict).lower()).option("splitBytes", str(split_bytes)))
+    if cdx is not None and index is None:
+        index = work_path(spark, "offsets")
+        write_offsets(cdx, index, min(INDEX_BYTES, split_bytes))
+    return (reader.option("index", index) if index else reader).load(path)
 
 
 def split_points(cdx: DataFrame, split_bytes: int = SPLIT_BYTES) -> dict[str, list[int]]:
