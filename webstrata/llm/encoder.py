@@ -4,7 +4,8 @@ The vocabularies split texts at white space before any merge, so the words of a
 encoded apart. Each process keeps the ids of words it has met; only new ones reach the
 tokenizers library. A new word of plain letters, with or without one closing mark, needs the
 merges alone, since a run of letters is one unit of such vocabularies; others pass the whole
-tokenizer. Texts with runs of white space are encoded whole where white space has ids.
+tokenizer. Texts with runs of white space, or with other white space beside a line's end, are
+encoded whole where white space has ids: such runs can be one token.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import numpy as np
 
 from webstrata.llm.workers import cache
 
-CACHED_WORDS = 100_000  # of each of two generations
+CACHED_BYTES = 40 << 20  # of each of two generations, the cost of an entry included
+ENTRY_BYTES = 160
 _PLAIN_BELOW = "ɐ"  # letters below keep their form and class in every Unicode version
 _MARKS = ".,;:!?"
 
@@ -43,23 +45,37 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
-class _Known(dict):
+class Known(dict):
     """Ids by word, found on first use; when full, it starts anew beside its elder generation."""
 
     def __init__(self, find) -> None:
         super().__init__()
-        self._find, self._elder = find, {}
+        self._find, self._elder, self._bytes = find, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self._elder.get(word)
         if ids is None:
             ids = self._find(self, word)
         self[word] = ids
+        self._bytes += ENTRY_BYTES + len(word) + len(ids or b"")
         return ids
 
+    def learn(self, words: set[str], find_all) -> None:
+        """Enter all of ``words``; ``find_all`` gives the ids of a list of new ones."""
+        new = []
+        for word in words:
+            if word not in self:
+                if word in self._elder:
+                    self[word]  # moves over
+                else:
+                    new.append(word)
+        for word, ids in zip(new, find_all(new)):
+            self[word] = ids
+            self._bytes += ENTRY_BYTES + len(word) + len(ids)
+
     def settle(self) -> None:
-        if len(self) > CACHED_WORDS:
-            self._elder = dict(self)
+        if self._bytes > CACHED_BYTES:
+            self._elder, self._bytes = dict(self), 0
             self.clear()
 
 
@@ -79,8 +95,8 @@ class WordEncoder:
         self._keeps_space = bool(self._tokenizer.encode(" ", add_special_tokens=False).ids)
         self._letters = byte_letters()
         self._merge = self._tokenizer.model.tokenize
-        self._words = _Known(lambda known, word: self._find(known, word, ""))
-        self._spaced = _Known(lambda known, word: self._find(known, word, " "))
+        self._words = Known(lambda known, word: self._find(known, word, ""))
+        self._spaced = Known(lambda known, word: self._find(known, word, " "))
         self._words[""] = b""
         self._marks = {mark: self._whole(mark) for mark in _MARKS}
         self._line = self._whole("\n") if self._keeps_space else b""
@@ -96,7 +112,7 @@ class WordEncoder:
         return word.isalpha() and max(word) < _PLAIN_BELOW and (
             not self._lowers or word.lower().isalpha())
 
-    def _find(self, known: _Known, word: str, before: str) -> bytes:
+    def _find(self, known: Known, word: str, before: str) -> bytes:
         mark = self._marks.get(word[-1:])
         if mark is not None:
             core = word[:-1]
@@ -123,8 +139,10 @@ class WordEncoder:
         self._spaced.settle()
         head, rest, out = self._words, self._spaced.__getitem__, []
         for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")]
-            if any("" in line for line in lines):
+            rows = text.split("\n")
+            lines = [row.split(" ") for row in rows]
+            if any("" in line for line in lines) or any(
+                    row[0].isspace() or row[-1].isspace() for row in rows):
                 out.append(self._whole(text))
             else:
                 out.append(self._line.join(
