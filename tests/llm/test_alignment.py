@@ -109,16 +109,33 @@ def test_alignment(spark, want, parts):
         for row, w in zip(rows, want))
 
 
-def test_small_parts_and_chunks(want):
-    """Batches of several texts, and cuts within texts, change nothing."""
+def test_whole_batch_and_packing(want):
     a, b = alignment.sides(A_PATH, B_PATH)
     one = alignment.Aligned(TEXTS, a, b)
-    assert ["".join(one.group_text(i)) for i in range(len(TEXTS))] == [w[6] for w in want]
-    assert "".join(alignment._parts(LONG)) == LONG and len(alignment._parts(LONG)) > 1
+    names = alignment._names(a.shown, "|") + alignment._names(b.shown, ";")
+    order, starts = one.written()
+    assert ["".join(names[i] for i in order[x:y])[:-1] for x, y in zip(starts, starts[1:])] == [
+        w[6] for w in want]
     numbers = np.array([0, 3, 70_000, 5, 1 << 31])
     assert (alignment._unpack(alignment._pack(numbers)) == numbers).all()
 
 
+SPACES = [" ", "\n", "\t", "\r", "\x0b", "\xa0", "\u2003", "\u3000", "\x85", "\u2028", "  ", "\n\n"]
+
+
+def test_encoders_equal_the_libraries():
+    random = np.random.default_rng(5)
+    words = ["a", "Word", "don't", "12", "...", "é", "日本", "x" * 2500, "<s>", "<|endoftext|>", "\u0301", "İ"]
+    a, b = alignment.sides(A_PATH, B_PATH)
+    library_a, library_b = Tokenizer.from_file(A_PATH), SentencePieceProcessor(model_file=B_PATH)
+    library_a.encode_special_tokens = True
+    for _ in range(3000):
+        text = "".join(random.choice(words if random.random() < 0.6 else SPACES)
+                       for _ in range(random.integers(1, 9)))
+        assert a.encode([text])[0].tolist() == library_a.encode(" " + text, add_special_tokens=False).ids
+        assert b.encode([text])[0].tolist() == library_b.encode(text)
+
+
 def test_nothing_to_align(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert alignment.align(df, A_PATH, B_PATH).count() == 0

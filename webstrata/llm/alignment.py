@@ -12,17 +12,16 @@ list, and get the corpus-wide counts of that list back: a pair that every docume
 per chunk, and no count table is broadcast.
 
 A text that is null or empty, or whose tokens' joined bytes differ from a space and the text (one
-with U+2581, for instance), has no tokens. Texts of any length are aligned whole; the
-tokenizers read long ones in parts, cut where neither can merge across. Repeated rows and ids are
-aligned each. Columns that clash with outputs give way, as does the text. Empty tables give no rows.
+with U+2581, for instance), has no tokens. Texts of any length are aligned whole. Repeated rows and
+ids are aligned each. Columns that clash with outputs give way, as does the text. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webstrata.llm.encoder import byte_letters
+from webstrata.llm.encoder import Known, byte_letters
 from webstrata.llm.frames import others
 from webstrata.llm.text import slices
 from webstrata.llm.workers import by_batches, cache, enter, give_back
@@ -41,9 +40,12 @@ from webstrata.session import work_path
 PART_BYTES = 1 << 20     # texts encoded and aligned at a time
 CHUNK_PAIRS = 2 << 20    # distinct pairs, summed over documents, held for one chunk
 LISTED = 1 << 15         # pairs of a chunk's list in one row
-LONG_CHARS = 1 << 18     # texts above are encoded in parts of about this size
+UNBROKEN = 2000          # longest run without white space that ranks encode
 STRIDE = 64
-JOINED = 1 << 20         # tokens of a document whose group text is built at a time
+JOINED = 1 << 18         # tokens of a document whose group text is built at a time
+# Fixed value: the split pattern of byte-level vocabularies.
+BYTE_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+                r"|\s+(?!\S)|\s+")
 
 _models: dict[tuple[str, str], tuple] = cache()
 
@@ -92,170 +94,190 @@ def overlaps(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, place, common
 
 
-def _parts(text: str) -> list[str]:
-    """A text, cut before single spaces between other characters; long stretches stay whole."""
-    if len(text) <= LONG_CHARS:
-        return [text]
-    parts, begin = [], 0
-    while begin < len(text):
-        cut = text.find(" ", begin + LONG_CHARS)
-        while 0 < cut < len(text) - 1 and (text[cut - 1].isspace() or text[cut + 1].isspace()):
-            cut = text.find(" ", cut + 1)
-        if cut <= 0 or cut >= len(text) - 1:
-            cut = len(text)
-        parts.append(text[begin:cut])
-        begin = cut
-    return parts
+class ByteLevel:
+    """A byte-level vocabulary file whose merges are in the order of their ids.
 
-
-class _Side:
-    """A tokenizer: ids of texts, and the bytes of each id."""
-
-    def __init__(self, shown: list[bytes]) -> None:
-        self.shown = shown
-        self.sizes = np.array([len(b) for b in shown], np.int64)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of a space and each text."""
-        parts = [_parts(text) for text in texts]
-        flat = self._batch([(part, not k) for each in parts for k, part in enumerate(each)])
-        out, at = [], 0
-        for each in parts:
-            ids = flat[at]
-            for more in flat[at + 1:at + len(each)]:
-                ids = ids + more
-            out.append(ids)
-            at += len(each)
-        return out
-
-
-class ByteLevel(_Side):
-    """A byte-level vocabulary file; special tokens' strings are plain text."""
+    Such a vocabulary is a table of ranks by bytes, which encodes whole texts at once. Special
+    tokens' strings are plain text.
+    """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._tokenizer.no_truncation()
+        parts = json.loads(Tokenizer.from_file(path).to_str())
         byte_of = {letter: byte for byte, letter in byte_letters().items()}
-        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
-        shown = [b""] * (max(vocabulary.values()) + 1)
-        special = {t["id"] for t in json.loads(self._tokenizer.to_str())["added_tokens"]}
-        for piece, number in vocabulary.items():
-            shown[number] = piece.encode() if number in special else bytes(
-                byte_of[c] for c in piece)
-        super().__init__(shown)
+        vocabulary, first = parts["model"]["vocab"], len(byte_of)
+        special = {token["content"] for token in parts["added_tokens"]}
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in parts["model"]["merges"]]
+        if parts["normalizer"] or parts["pre_tokenizer"]["type"] != "ByteLevel" or any(
+                vocabulary[piece] != first + rank for rank, piece in enumerate(merged)):
+            raise ValueError(f"not a byte-level vocabulary in the order of its merges: {path}")
+        ranks = {bytes(map(byte_of.__getitem__, piece)): number
+                 for piece, number in vocabulary.items() if piece not in special}
+        self._ranks = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=ranks,
+                                        special_tokens={})
+        self._library = Tokenizer.from_file(path)
+        self._library.encode_special_tokens = True
+        self._library.no_truncation()
+        self.shown = [b""] * (max(ranks.values()) + 1)
+        for piece, number in ranks.items():
+            self.shown[number] = piece
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of a space and each text; an empty text has none."""
+        out = []
+        for text in texts:
+            if max(map(len, text.split()), default=0) > UNBROKEN:  # ranks take its square in time
+                ids = self._library.encode(" " + text, add_special_tokens=False).ids
+            else:
+                ids = self._ranks.encode_ordinary(" " + text) if text else []
+            out.append(np.array(ids, np.int64))
+        return out
 
-    def _batch(self, parts: list[tuple[str, bool]]) -> list[list[int]]:
-        # Parts after a text's first one begin with the space they were cut at.
-        return [e.ids for e in self._tokenizer.encode_batch_fast(
-            [" " + part if first else part for part, first in parts], add_special_tokens=False)]
 
+class Pieces:
+    """A SentencePiece model file that puts a space before each text.
 
-class Pieces(_Side):
-    """A SentencePiece model file that puts a space before each text."""
+    Where no piece runs on into the marker of the next word, words are encoded once per process and
+    remembered; a newline that is no part of a piece ends a word as well.
+    """
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
         self._model = SentencePieceProcessor(model_file=path)
         pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
-        # Texts can be cut at spaces where no piece runs on into the marker of the next word.
-        self._splits = not any("▁" in piece.lstrip("▁") for piece in pieces)
-        super().__init__([
-            bytes([int(piece[3:5], 16)]) if self._model.is_byte(i) else
-            piece.replace("▁", " ").encode() for i, piece in enumerate(pieces)])
+        plain = [piece for i, piece in enumerate(pieces) if not self._model.is_byte(i)]
+        self._splits = not any("▁" in piece.lstrip("▁") or "\n" in piece for piece in plain)
+        self.shown = [bytes([int(piece[3:5], 16)]) if self._model.is_byte(i) else
+                      piece.replace("▁", " ").encode() for i, piece in enumerate(pieces)]
+        # A line's first word has no marker: it goes with the newline before it.
+        line = self._model.encode("\n")
+        self._splits = self._splits and self._model.encode("\na")[:len(line)] == line
+        self._known = Known(lambda _, word: self._all([word])[0])
+
+    def _all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, each behind a space; of words that begin with a newline, without it."""
+        return [array("I", ids[1:] if text[0] == "\n" else ids).tobytes()
+                for text, ids in zip(texts, self._model.encode(texts, num_threads=1))]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of a space and each text; an empty text has none."""
+        self._known.settle()
+        words = [text.replace("\n", " \n").split(" ") for text in texts]
+        # Spaces in a row may share a piece with a word: such texts are encoded whole.
+        plain = [self._splits and "" not in each for each in words]
+        found = [list(map(self._known.get, each)) if fits else []
+                 for each, fits in zip(words, plain)]
+        new = [at for at, ids in enumerate(found) if None in ids]
+        self._known.learn({word for at in new for word, ids in zip(words[at], found[at])
+                           if ids is None}, self._all)
+        for at in new:
+            found[at] = list(map(self._known.get, words[at]))
+        out = []
+        for text, ids, fits in zip(texts, found, plain):
+            if fits:
+                data = b"".join(ids)
+            else:
+                data = array("I", self._model.encode(text)).tobytes()
+            out.append(np.frombuffer(data, "<u4").astype(np.int64))
+        return out
+
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self._splits:
-            return super().encode(texts)
-        return self._model.encode(texts, num_threads=1)
+class _Side:
+    """The tokens of a batch of texts by one tokenizer: ids, byte ends, first token of each text."""
 
-    def _batch(self, parts: list[tuple[str, bool]]) -> list[list[int]]:
-        return self._model.encode([part if first else part[1:] for part, first in parts],
-                                  num_threads=1)
+    def __init__(self, ids: list[np.ndarray], shown: list[bytes]) -> None:
+        self.counts = np.array([len(i) for i in ids], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        self.sizes = np.array([len(b) for b in shown], np.int64)
+        self.ends = np.cumsum(self.sizes[self.ids])
+        self.doc = np.repeat(np.arange(len(ids)), self.counts)
+
+    def wrong(self, texts: list[bytes], shown: list[bytes]) -> np.ndarray:
+        """Texts whose tokens' joined bytes differ from them."""
+        edges = np.concatenate([[0], self.ends])[self.starts]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        out = np.diff(edges) != sizes
+        if out.any():  # rare: each text for itself
+            for at in np.flatnonzero(~out):
+                ids = self.ids[self.starts[at]:self.starts[at + 1]]
+                out[at] = b"".join(map(shown.__getitem__, ids.tolist())) != texts[at]
+            return out
+        table = np.frombuffer(b"".join(shown), np.uint8)
+        begins = (np.cumsum(self.sizes) - self.sizes)[self.ids]
+        lengths = self.sizes[self.ids]
+        flat = table[np.arange(edges[-1]) + np.repeat(begins - (self.ends - lengths), lengths)]
+        differ = np.flatnonzero(flat != np.frombuffer(b"".join(texts), np.uint8))
+        out[np.searchsorted(edges, differ, "right") - 1] = True
+        return out
 
 
-def sides(path_a: str, path_b: str) -> tuple[_Side, _Side]:
+def sides(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
     """The process's tokenizers A, a byte-level file, and B, a SentencePiece model."""
     if (path_a, path_b) not in _models:
         _models[path_a, path_b] = ByteLevel(path_a), Pieces(path_b)
     return _models[path_a, path_b]
 
 
+def _names(shown: list[bytes], last: str) -> list[str]:
+    """How each id is written inside a group, and as the last of its side."""
+    return [f"{i}," for i in range(len(shown))] + [f"{i}{last}" for i in range(len(shown))]
+
+
 class Aligned:
     """The alignment of a batch of texts, as one run of tokens on each side."""
 
-    def __init__(self, texts: list[str | None], a: _Side, b: _Side) -> None:
-        ids_a, ids_b = self._tokens(texts, a, b)
-        self.counts = np.array([[len(x), len(y)] for x, y in zip(ids_a, ids_b)], np.int64).reshape(-1, 2)
-        self.ids = [np.fromiter(chain.from_iterable(side), np.int64, int(total))
-                    for side, total in zip((ids_a, ids_b), self.counts.sum(axis=0))]
-        self.starts = [np.concatenate([[0], np.cumsum(self.counts[:, k])]) for k in (0, 1)]
-        # Texts follow each other, so that the ends of the batch ascend on both sides.
-        ends = [np.cumsum(side.sizes[ids]) for side, ids in zip((a, b), self.ids)]
-        doc = [np.repeat(np.arange(len(texts)), self.counts[:, k]) for k in (0, 1)]
-        few = self.counts[:, 0] <= self.counts[:, 1]
+    def __init__(self, texts: list[str | None], a: ByteLevel, b: Pieces) -> None:
+        none = np.empty(0, np.int64)
+        ids = [side.encode([t or "" for t in texts]) for side in (a, b)]
+        whole = [(" " + t).encode() if t else b"" for t in texts]
+        sides_ = [_Side(i, side.shown) for i, side in zip(ids, (a, b))]
+        bad = sides_[0].wrong(whole, a.shown) | sides_[1].wrong(whole, b.shown)
+        if bad.any():
+            sides_ = [_Side([none if bad[k] else one for k, one in enumerate(i)], side.shown)
+                      for i, side in zip(ids, (a, b))]
+        self.a, self.b = sides_
+        # Texts follow each other, so that the ends of the batch ascend on both sides; per text the
+        # shorter list drives.
+        few = self.a.counts <= self.b.counts
         links, commons = [], []
-        for short, chosen in ((0, few), (1, ~few)):  # per document the shorter list drives
-            mine, theirs = chosen[doc[short]], chosen[doc[1 - short]]
-            at, to = np.flatnonzero(mine), np.flatnonzero(theirs)
+        for short, long, chosen, turn in ((self.a, self.b, few, 1), (self.b, self.a, ~few, -1)):
+            at, to = np.flatnonzero(chosen[short.doc]), np.flatnonzero(chosen[long.doc])
             if not len(at):
                 continue
-            first, last, common = overlaps(ends[short][at], ends[1 - short][to])
+            first, last, common = overlaps(short.ends[at], long.ends[to])
             count = last - first + 1
-            near = np.repeat(at, count)
-            far = to[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                     + np.repeat(first, count)]
-            links.append((near, far) if short == 0 else (far, near))
-            pair = (at[common], to[last[common]])
-            commons.append(pair if short == 0 else pair[::-1])
-        none = np.empty(0, np.int64)
+            far = to[np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)]
+            links.append((np.repeat(at, count), far)[::turn])
+            commons.append((at[common], to[last[common]])[::turn])
         self.link_a = np.concatenate([x for x, _ in links] or [none])
         self.link_b = np.concatenate([y for _, y in links] or [none])
-        self.link_doc = doc[0][self.link_a]
+        self.link_doc = self.a.doc[self.link_a]
         # Last token of each group, on both sides, in order.
         self.last_a = np.sort(np.concatenate([x for x, _ in commons] or [none]))
         self.last_b = np.sort(np.concatenate([y for _, y in commons] or [none]))
-        self.group_doc = doc[0][self.last_a]
+        self.group_doc = self.a.doc[self.last_a]
 
-    @staticmethod
-    def _tokens(texts: list[str | None], a: _Side, b: _Side) -> tuple[list, list]:
-        shown = [text or "" for text in texts]
-        out = []
-        for ids_a, ids_b, text in zip(a.encode(shown), b.encode(shown), shown):
-            whole = (" " + text).encode()
-            same = text != "" and all(
-                b"".join(map(side.shown.__getitem__, ids)) == whole
-                for side, ids in ((a, ids_a), (b, ids_b)))
-            out.append((ids_a, ids_b) if same else ([], []))
-        return [x for x, _ in out], [y for _, y in out]
-
-    def group_text(self, doc: int) -> Iterator[str]:
-        """The groups of a document, ``a1,a2|b1;a3|b2,b3``, in parts."""
-        begin, end = np.searchsorted(self.group_doc, [doc, doc + 1])
-        (begin_a, end_a), (begin_b, end_b) = (s[doc:doc + 2] for s in self.starts)
-        last_a, last_b = self.last_a[begin:end], self.last_b[begin:end]
+    def written(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens in the order their groups are written, as places in the names of both
+        vocabularies, and each text's first."""
+        in_a, in_b = np.diff(self.last_a, prepend=-1), np.diff(self.last_b, prepend=-1)
         # Per group its A tokens, then its B tokens: a token's place follows from what precedes.
-        in_a, in_b = np.diff(last_a, prepend=begin_a - 1), np.diff(last_b, prepend=begin_b - 1)
-        place_a = np.arange(end_a - begin_a) + np.repeat(np.cumsum(in_b) - in_b, in_a)
-        place_b = np.arange(end_b - begin_b) + np.repeat(np.cumsum(in_a), in_b)
-        tokens = np.empty(len(place_a) + len(place_b), np.int64)
-        marks = np.full(len(tokens), ord(","), np.uint8)
-        tokens[place_a], tokens[place_b] = self.ids[0][begin_a:end_a], self.ids[1][begin_b:end_b]
-        marks[place_a[last_a - begin_a]] = ord("|")
-        marks[place_b[last_b - begin_b]] = ord(";")
-        for at in range(0, len(tokens), JOINED):
-            part = tokens[at:at + JOINED].tolist()
-            ends = marks[at:at + JOINED].tobytes().decode("ascii")
-            text = "".join([f"{token}{mark}" for token, mark in zip(part, ends)])
-            yield text[:-1] if at + JOINED >= len(tokens) else text
+        place_a = np.arange(len(self.a.ids)) + np.repeat(np.cumsum(in_b) - in_b, in_a)
+        place_b = np.arange(len(self.b.ids)) + np.repeat(np.cumsum(in_a), in_b)
+        own_a, own_b = self.a.ids.copy(), self.b.ids.copy()
+        own_a[self.last_a] += len(self.a.sizes)
+        own_b[self.last_b] += len(self.b.sizes)
+        out = np.empty(len(place_a) + len(place_b), np.int64)
+        out[place_a], out[place_b] = own_a, own_b + 2 * len(self.a.sizes)
+        return out, self.a.starts + self.b.starts
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, pair code, times), each distinct pair of each document once, in order."""
-        codes = (self.ids[0][self.link_a] << 32) | self.ids[1][self.link_b]
+        codes = (self.a.ids[self.link_a] << 32) | self.b.ids[self.link_b]
         order = np.lexsort((codes, self.link_doc))
         doc, codes = self.link_doc[order], codes[order]
         new = np.ones(len(codes), bool)
@@ -273,6 +295,16 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _digest(pieces: Iterator[str]) -> str:
+    """Hex digest of the joined pieces less their last character; '' if there are none."""
+    digest, held = hashlib.sha256(), ""
+    for piece in pieces:
+        digest.update(held.encode())
+        digest.update(piece[:-1].encode())
+        held = piece[-1]
+    return digest.hexdigest() if held else ""
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, groups: str = "digest",
           keep: list[str] | None = None) -> DataFrame:
     """Rows with n_a, n_b, n_groups, n_links, n_best, count_sum and their groups.
@@ -304,25 +336,24 @@ def align(docs: DataFrame, path_a: str, path_b: str, groups: str = "digest",
         from pyspark import TaskContext
 
         a, b = sides(path_a, path_b)
+        names = _names(a.shown, "|") + _names(b.shown, ";")
         chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
                 aligned = Aligned(part.column("text").to_pylist(), a, b)
                 n = part.num_rows
                 doc, codes, times = aligned.pairs()
+                order, starts = aligned.written()
                 texts = []
-                for at in range(n):
-                    if not aligned.counts[at, 0]:
-                        texts.append("")
-                    elif groups == "text":
-                        texts.append("".join(aligned.group_text(at)))
+                for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                    pieces = ("".join(map(names.__getitem__, order[at:min(at + JOINED, y)].tolist()))
+                              for at in range(x, y, JOINED))
+                    if groups == "text":
+                        texts.append("".join(pieces)[:-1])
                     else:
-                        digest = hashlib.sha256()
-                        for piece in aligned.group_text(at):
-                            digest.update(piece.encode())
-                        texts.append(digest.hexdigest())
+                        texts.append(_digest(pieces))
                 held.append((part.column("row"), [
-                    aligned.counts[:, 0], aligned.counts[:, 1],
+                    aligned.a.counts, aligned.b.counts,
                     np.bincount(aligned.group_doc, minlength=n),
                     np.bincount(aligned.link_doc, minlength=n)], texts,
                     np.searchsorted(doc, np.arange(n + 1)), codes, times.astype(np.uint32)))
