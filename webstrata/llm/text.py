@@ -11,11 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from webstrata.llm.workers import cache
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
 BASE = 0xD6E8FEB86659FD93
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -31,17 +33,19 @@ _IS_SPACE[[32, *range(9, 14)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
+_KEPT = _PIECE + (1 << 16)
+_powers: dict[int, np.ndarray] = cache()
 
 
 def powers(base: int, count: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64; kept per process, doubled when too short."""
+    """base**0, base**1, ... modulo 2**64; as many as a piece needs are kept for a task."""
     have = _powers.get(base)
     if have is None or len(have) < count:
-        size = max(count, 2 * len(have) if have is not None else 1024)
-        steps = np.full(size, base, dtype=np.uint64)
+        steps = np.full(max(count, 1024), base, dtype=np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if count <= _KEPT:
+            _powers[base] = have
     return have[:count]
 
 
