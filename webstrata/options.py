@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, fields, replace
 
 
@@ -76,8 +77,23 @@ def parse_properties(text: str) -> dict[str, str]:
     return found
 
 
+# What the last part of another runtime's class name says about its kind of sink.
+_KINDS = (("warc", "warc"), ("log", "log"), ("cache", "store"), ("store", "store"))
+
+
+def _own_sink(class_name: str) -> str | None:
+    """The registered sink of the kind a dotted class name of another runtime tells."""
+    last = class_name.strip().rsplit(".", 1)[-1].lower()
+    return next((sink for word, sink in _KINDS if word in last), None)
+
+
 def options_from_properties(*texts: str, base: CaptureOptions | None = None) -> CaptureOptions:
-    """Options from one or more properties texts; unknown keys are ignored."""
+    """Options from one or more properties texts; unknown keys are ignored.
+
+    Recorder and store may be registered names, ``module:Class``, or class names of another runtime,
+    which stand for the registered sink of their kind; one of no known kind leaves the default, with a
+    warning.
+    """
     pairs: dict[str, str] = {}
     for text in texts:
         pairs.update(parse_properties(text))
@@ -97,8 +113,12 @@ def options_from_properties(*texts: str, base: CaptureOptions | None = None) ->
             parts = (part.strip() for part in re.split(delimiter, value))
             changes[target] = tuple(part for part in parts if part)
         elif target in ("recorder", "store") and ":" not in value and not value.isidentifier():
-            # Neither a registered name nor module:Class, but a class name of another runtime.
-            continue
+            own = _own_sink(value)
+            if own is None:
+                warnings.warn(f"{name}: no sink for {value}, {getattr(CaptureOptions, target)} is used",
+                              stacklevel=2)
+            else:
+                changes[target] = own
         else:
             changes[target] = value
     return (base or CaptureOptions()).with_(**changes)
