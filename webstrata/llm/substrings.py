@@ -29,7 +29,7 @@ from webstrata.llm.text import Words, slices, text_bytes
 from webstrata.llm.workers import by_batches, by_group
 
 WINDOW = 35
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 MOST_BUCKET_BYTES = 128 << 20
 FEW_BUCKETS = 4096
