@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 
@@ -138,13 +139,70 @@ def test_open_keys_time_out_when_the_stream_ends(spark, folder):
         stream_stable(stream, 20_000).writeStream.format("parquet").option(
             "path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(
             availableNow=True).start().awaitTermination()
-    rest = finish_stable(spark, f"{folder}/state")
+    rest = finish_stable(spark, f"{folder}/state", 20_000)
     got = sorted(map(tuple, spark.read.parquet(f"{folder}/out").unionByName(rest).collect()))
     shown = spark.read.schema(schema).parquet(f"{folder}/in")
     want = sorted(map(tuple, first_stable(shown, timeout_ms=20_000).collect()))
     assert got == want and {r.key for r in rest.collect()} == {1, 2, 5}
 
 
+def _stream_parts(spark, folder, parts, **how):
+    """Rows of `stream_stable`, micro-batch by micro-batch, and the state's keys after each."""
+    schema, sizes = "key bigint, seq bigint, ts timestamp, html string", []
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        stream_stable(stream, **how).writeStream.format("parquet").option(
+            "path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(
+            availableNow=True).start().awaitTermination()
+        state = spark.read.format("statestore")
+        sizes.append([state.option("stateVarName", name).load(f"{folder}/state").count()
+                      for name in ("last", "pending")])
+    return [tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()], sizes
+
+
+def _shuffled_shots():
+    """Keys that turn stable, never do, do so too late, have one snapshot, or none with a body."""
+    pages = {1: "aabb", 2: "abcdee", 3: "aba", 4: "x", 5: "abcdefghijklmnopqrstuvwxyzz", 6: [None] * 3}
+    rows = [(key, i, T0 + datetime.timedelta(seconds=i), page)
+            for key, shown in pages.items() for i, page in enumerate(shown)]
+    random.Random(5).shuffle(rows)
+    return rows
+
+
+def test_numbered_snapshots_in_any_order(spark, folder):
+    rows = _shuffled_shots()
+    got, sizes = _stream_parts(spark, folder, [rows[i::5] for i in range(5)], timeout_ms=20_000,
+                               first_seq=0)
+    rest = finish_stable(spark, f"{folder}/state", 20_000)
+    shown = spark.createDataFrame(rows, "key bigint, seq bigint, ts timestamp, html string")
+    want = sorted(map(tuple, first_stable(shown, timeout_ms=20_000).collect()))
+    assert sorted(got + [tuple(r) for r in rest.collect()]) == want
+    # All that had its turn has left the map, and finished keys keep one row.
+    assert sizes[-1] == [6, 0] and {key for key, *_ in got} == {1, 2, 5}
+
+
+def test_a_gap_at_the_end_of_the_stream(spark, folder):
+    rows = [r for r in _shuffled_shots() if r[:2] not in {(1, 0), (2, 3), (3, 1)}]
+    got, sizes = _stream_parts(spark, folder, [rows[::2], rows[1::2]], timeout_ms=20_000,
+                               first_seq=0)
+    rest = [tuple(r) for r in finish_stable(spark, f"{folder}/state", 20_000).collect()]
+    shown = spark.createDataFrame(rows, "key bigint, seq bigint, ts timestamp, html string")
+    assert sorted(got + rest) == sorted(map(tuple, first_stable(shown, timeout_ms=20_000).collect()))
+    assert sizes[-1][1] > 0
+
+
+def test_late_snapshots_wait_for_the_watermark_and_state_ends(spark, folder):
+    rows = _shuffled_shots()
+    later = [[(9, i, T0 + datetime.timedelta(days=30 * i), f"p{i}")] for i in (1, 2, 3)]
+    got, sizes = _stream_parts(spark, folder, [rows[::2], rows[1::2], *later], timeout_ms=20_000,
+                               lateness="60 seconds", forget_ms=86_400_000)
+    shown = spark.createDataFrame(rows, "key bigint, seq bigint, ts timestamp, html string")
+    want = sorted(map(tuple, first_stable(shown, timeout_ms=20_000).collect()))
+    assert sorted(r for r in got if r[0] != 9) == want
+    assert sizes[1][1] > 0 and sum(sizes[-1]) <= 1  # the last snapshot of key 9 alone
+
+
 def test_files_are_recorded_from_state(spark, folder):
     """Each micro-batch reads its own rows alone, and sinks get the first calls once."""
     opts = CaptureOptions(store_path=f"{folder}/store", clear_store_on_init=True)

@@ -22,6 +22,11 @@ def first_stable(snapshots: DataFrame, key: str = "key", order: str = "seq",
     digests = snapshots.select(
         F.col(key).alias("key"), F.col(order).alias("seq"), "ts",
         F.sha2(F.col(payload).cast("binary"), 256).alias("digest"))
+    return stable_of(digests, timeout_ms)
+
+
+def stable_of(digests: DataFrame, timeout_ms: int | None) -> DataFrame:
+    """`first_stable` of rows ``key, seq, ts, digest``."""
     # Materialised first: the range layout samples its input, and payloads are costly to read.
     laid = lay_out(cut_lineage(digests), ["key"], ["seq"])
     pairs = previous_in_group(laid, ["key"], ["seq"], "digest", "previous")

@@ -350,6 +350,14 @@ SELECT node FROM reached""",
     "t1_stream_record": f"""
 WITH {_CALLS} SELECT request_key, call_id, status, md5(resp_body) AS body_md5 FROM firsts""",
     "t2_stream_stable": _D4,
+    "t2_stream_shuffled": _STABLE + """,
+numbered AS (
+  SELECT user_id AS key, event_id AS seq,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number FROM events)
+SELECT key, CASE WHEN in_time THEN 'stable' ELSE 'timed_out' END AS outcome,
+       CASE WHEN in_time THEN number END AS stable_seq
+FROM (SELECT *, coalesce(stable_ts <= first_ts + INTERVAL 2 DAY, FALSE) AS in_time FROM per_key)
+LEFT JOIN numbered USING (key, seq)""",
 }
 
 # The same rows by another plan.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webstrata import functions as fn
 from webstrata.operators import clicks, dedup, filters, frontier, lookups, scope, snapshots
 from webstrata.operators import elements as el
+from webstrata.operators.ordered import lay_out, rank_in_group
 from webstrata.options import CaptureOptions
 from webstrata.plans import tables as t
 from webstrata.session import work_path
@@ -625,4 +626,23 @@ def t2_stream_stable(spark, sf_dir):
         "path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(
         availableNow=True).start().awaitTermination()
     emitted = spark.read.schema(OUTPUT).parquet(f"{root}/out")
-    return emitted.unionByName(finish_stable(spark, f"{root}/state"))
+    return emitted.unionByName(finish_stable(spark, f"{root}/state", 36_500 * t.DAY))
+
+
+@query
+def t2_stream_shuffled(spark, sf_dir):
+    """Snapshots numbered per key that arrive in any order, over four micro-batches."""
+    root = work_path(spark, "stream")
+    laid = lay_out(t.snapshots(spark, sf_dir), ["key"], ["seq"])
+    shots = rank_in_group(laid, ["key"], ["seq"], "number").select(
+        "key", F.col("number").alias("seq"), "ts", "html")
+    part = F.pmod(F.xxhash64("key", "seq"), F.lit(4))
+    for number in range(4):
+        shots.where(part == number).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(shots.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{root}/in")
+    stream_stable(stream, 2 * t.DAY, first_seq=1).writeStream.format("parquet").option(
+        "path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    emitted = spark.read.schema(OUTPUT).parquet(f"{root}/out")
+    return emitted.unionByName(finish_stable(spark, f"{root}/state", 2 * t.DAY))
