@@ -1,16 +1,20 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id, and never those
-whose crc32(doc_id as text) is divisible by 5. Words and word beginnings that mark toxic texts
-become lexicon voters; patterns vote too. A generative model with one set of vote
-probabilities per class is fitted by expectation maximisation; votes that correlate within the
-classes share their weight. Its posteriors, not the labels, train a logistic classifier over the
-lexicon and pattern features, which alone scores all texts.
+whose crc32(doc_id as text) is divisible by 5. Lexicon voters are words and word beginnings found
+far more often in texts marked toxic; disguised spellings count as the words they hide. Pattern
+voters look at form alone: letters set apart, masked letters, stretched words, insults by
+address, shouting. A generative model estimates from the agreements of the voters alone how often
+each votes in either latent class, and how voters correlate within the classes, which share their
+weight. The annotator is no voter: labels give the balance of the classes and say which latent
+class is the toxic one. The posteriors train a logistic classifier over the voters, which alone
+scores all texts.
 
 A null text counts as empty and gets the score of a text without features. A null doc_id is held
-in the scored table and never held out. Repeated rows get equal scores; extra columns are ignored,
-and several labels of a doc_id count by their largest. Without labelled rows of both classes, the
-score is the share of toxic labels, or 0.
+in the scored table and never held out. Repeated rows get equal scores; extra columns are kept unless
+an output column has their name. Several labels of a doc_id count by their largest, and of several
+texts the smallest trains. Without labelled rows of both classes, the score is the share of toxic
+labels, or 0.
 """
 
 from __future__ import annotations
@@ -37,8 +41,23 @@ LEAST_TEXTS = 5
 LEAST_EVIDENCE = 6.0  # log odds times the root of the toxic texts that have the feature
 PREFIXES = (4, 5, 6)
 CHUNK_BYTES = 1 << 20
+LONGEST_KNOWN = 64
 _WORD = re.compile(r"[^\W_]+")
 
+# What a text looks like, whatever its words.
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?![^\W_])")
+_MASKED = re.compile(r"[^\W\d_][@$!|*0134578]+[^\W\d_]")
+_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
+_ADDRESS = re.compile(r"\b(?:you|u|du|ihr|tu|vous|tú|usted|ustedes)(?:\s+|')"
+                      r"(?:are|re|r|bist|seid|es|êtes|eres|son)\s+"
+                      r"(?:(?:an?|so|such|all|just|eine?|so|une?|una)\s+)?[^\W\d_]+\s*[!.]")
+_SHOUTED = re.compile(r"(?:\b[^\W\d_a-z]{3,}\b[ ,]*){3,}!")
+PATTERNS = ("spaced", "masked", "stretched", "address", "shouted")
+HITS = 3
+# Letters that digits and signs stand for.
+_STANDS_FOR = str.maketrans("@$!|013457", "asiloieast")
+_REACH = 24
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -53,53 +72,93 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def _around(text: str, begin: int, end: int) -> str:
+    """The unbroken run around a place, as far as a word may reach."""
+    left = text[max(0, begin - _REACH):begin].split()
+    right = text[end:end + _REACH].split()
+    before = left[-1] if left and not text[begin - 1].isspace() else ""
+    after = right[0] if right and not text[end].isspace() else ""
+    return before + text[begin:end] + after
+
+
+def looks_of(text: str | None) -> tuple[list[int], set[str]]:
+    """Numbers of the patterns a text has, and the words its disguised spellings stand for."""
+    text = text or ""
+    low = text.lower()
+    seen, hidden = set(), set()
+    for found in _SPACED.finditer(low):
+        seen.add(0)
+        hidden.add("".join(_WORD.findall(found.group()))[:LONGEST_KNOWN])
+    for found in _MASKED.finditer(low):
+        seen.add(1)
+        hidden.update(_WORD.findall(_around(low, *found.span()).translate(_STANDS_FOR)))
+    for found in _STRETCHED.finditer(low):
+        seen.add(2)
+        word = _around(low, *found.span())
+        for kept in (r"\1", r"\1\1"):
+            hidden.update(_WORD.findall(_STRETCHED.sub(kept, word)))
+    if _ADDRESS.search(low):
+        seen.add(3)
+    if _SHOUTED.search(text):
+        seen.add(4)
+    return sorted(seen), hidden
+
+
 @dataclass
 class Model:
-    """Weights of the lexicon, by feature, of one to three hits, and the bias."""
+    """Weights of the lexicon by feature, of one to three hits, of the patterns, and the bias."""
 
     lexicon: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(HITS + len(PATTERNS)))
     bias: float = -30.0
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
-    def hits(self, text: str | None) -> tuple[set[int], int]:
-        """Features of a text, and how many of its words have one."""
+    def _features(self, word: str) -> tuple[int, ...]:
+        return tuple(self.lexicon[f] for f in features_of(word) if f in self.lexicon)
+
+    def hits(self, words: set[str]) -> tuple[set[int], int]:
+        """Lexicon features of words, and how many of the words have one."""
         found: set[int] = set()
         count = 0
         known = self.known
         if len(known) > 200_000:
             known.clear()
-        for word in words_of(text):
+        for word in words:
             own = known.get(word)
             if own is None:
-                own = known[word] = tuple(self.lexicon[f] for f in features_of(word)
-                                          if f in self.lexicon)
+                own = self._features(word)
+                if len(word) <= LONGEST_KNOWN:
+                    known[word] = own
             if own:
                 found.update(own)
                 count += 1
         return found, count
 
     def row(self, text: str | None) -> list[int]:
-        """Active feature numbers: lexicon features, then patterns of one, two, three hits."""
-        found, count = self.hits(text)
-        return [*sorted(found), *(len(self.lexicon) + k for k in range(min(count, 3)))]
+        """Active feature numbers: lexicon features, one to three hits, patterns."""
+        looks, hidden = looks_of(text)
+        found, count = self.hits(words_of(text) | hidden)
+        width = len(self.lexicon)
+        return [*sorted(found), *(width + k for k in range(min(count, HITS))),
+                *(width + HITS + k for k in looks)]
 
     def score(self, text: str | None) -> float:
         total = self.bias + float(self.weights[self.row(text)].sum())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Posterior of the toxic class per row.
+def label_model(votes: np.ndarray, hits: np.ndarray, balance: float,
+                rounds: int = 60) -> np.ndarray:
+    """Posterior of the latent class that the voters vote for, per row, from the votes alone.
 
-    ``votes`` are 0/1 per voter, the last column being the annotator. Vote probabilities per
-    class start from the labels and are refined from the posteriors; a voter whose votes correlate
-    with others' within the classes gets a smaller weight.
+    ``votes`` are 0/1 per voter, and a silent voter abstains. Starting from the number of lexicon hits,
+    vote probabilities per class and posteriors are estimated in turn. A voter that correlates with
+    others within the classes, as the beginnings of one word do, shares its weight with them, while
+    the votes cast keep their total weight. The mean posterior is held at ``balance``.
     """
-    posterior = np.where(labels > 0, 0.95, 0.05)
     votes = votes.astype(np.float64)
+    posterior = np.array([0.02, 0.2, 0.5, 0.9])[np.minimum(hits, 3)]
     for _ in range(rounds):
-        prior = float(np.clip(posterior.mean(), 1e-3, 1 - 1e-3))
         on = (posterior @ votes + 0.1) / (posterior.sum() + 1)
         off = ((1 - posterior) @ votes + 0.1) / ((1 - posterior).sum() + 1)
         rest = votes - posterior[:, None] * on - (1 - posterior)[:, None] * off
@@ -107,15 +166,33 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> np.n
         related = np.abs((rest.T @ rest) / len(rest) / np.outer(spread, spread))
         np.fill_diagonal(related, 0)
         weight = 1 / (1 + np.where(related > 0.05, related, 0).sum(axis=1))
-        weight[-1] = 1.0
-        # An absent word says little, but the annotator's silence is a vote.
-        evidence = votes @ (weight * (np.log(on) - np.log(off)))
-        evidence += (1 - votes[:, -1]) * (np.log1p(-on[-1]) - np.log1p(-off[-1]))
-        total = np.clip(evidence + math.log(prior / (1 - prior)), -30, 30)
-        posterior = 1 / (1 + np.exp(-total))
+        weight *= max(votes.sum(), 1) / max((votes @ weight).sum(), 1e-9)
+        after = _balanced(votes @ (weight * (np.log(on) - np.log(off))), balance)
+        done = np.abs(after - posterior).max() < 1e-4
+        posterior = after
+        if done:
+            break
     return posterior
 
 
+def _balanced(evidence: np.ndarray, balance: float) -> np.ndarray:
+    """Posteriors of log odds ``evidence`` plus the prior for which their mean is ``balance``."""
+    low, high = -40 - evidence.max(), 40 - evidence.min()
+    for _ in range(60):
+        prior = (low + high) / 2
+        posterior = 1 / (1 + np.exp(-np.clip(evidence + prior, -30, 30)))
+        low, high = (prior, high) if posterior.mean() < balance else (low, prior)
+    return posterior
+
+
+def toxic_side(posterior: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The posterior of the latent class that holds the larger share of toxic labels."""
+    other = 1 - posterior
+    share = (posterior @ labels) / max(posterior.sum(), 1e-9)
+    other_share = (other @ labels) / max(other.sum(), 1e-9)
+    return posterior if share >= other_share else other
+
+
 def logistic(rows: np.ndarray, targets: np.ndarray, ridge: float = 0.3,
              rounds: int = 12) -> np.ndarray:
     """Weights and bias fitted to soft targets by Newton steps."""
@@ -143,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     sample = cut_lineage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                                      F.col("text").cast("string").alias("text"))
                          .join(F.broadcast(chosen), "doc_id")
-                         .dropDuplicates(["doc_id"]))
+                         .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,8 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
                 toxic: Counter[str] = Counter()
                 for text, label in zip(part.column("text").to_pylist(),
                                        part.column("toxic").to_pylist()):
+                    words = words_of(text) | looks_of(text)[1]
                     (toxic if label else clean).update(
-                        {f for word in words_of(text) for f in features_of(word)})
+                        {f for word in words for f in features_of(word)})
                 names = list(clean.keys() | toxic.keys())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()),
@@ -163,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     totals = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
-        return Model(weights=np.zeros(3), bias=30.0 if n_toxic else -30.0)
+        return Model(bias=30.0 if n_toxic else -30.0)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log(
         (F.col("clean") + 0.5) / (n_clean + 1.0))
     found = (sample.mapInArrow(by_batches(count), "feature string, toxic bigint, clean bigint")
@@ -172,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
              .orderBy((odds * F.sqrt("toxic")).desc(), "feature").limit(voters).collect())
     lexicon = {row["feature"]: at for at, row in enumerate(found)}
     model = Model(lexicon)
-    width = len(lexicon) + 3
+    width = len(lexicon) + HITS + len(PATTERNS)
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     rows = np.zeros((len(seen), width))
     for at, row in enumerate(seen):
         rows[at, row["active"]] = 1
-    given = np.array([row["toxic"] for row in seen])
-    posterior = label_model(np.hstack([rows, (given > 0)[:, None]]), given)
+    given = np.array([row["toxic"] for row in seen], np.float64)
+    hits = rows[:, len(lexicon):len(lexicon) + HITS].sum(axis=1).astype(np.int64)
+    voted = np.delete(rows, np.s_[len(lexicon):len(lexicon) + HITS], axis=1)
+    posterior = toxic_side(label_model(voted, hits, float(given.mean())), given)
     weights = logistic(rows, posterior)
     model.weights, model.bias = weights[:-1], float(weights[-1])
     return model
