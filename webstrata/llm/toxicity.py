@@ -91,7 +91,8 @@ def looks_of(text: str | None) -> tuple[list[int], set[str]]:
         hidden.add("".join(_WORD.findall(found.group()))[:LONGEST_KNOWN])
     for found in _MASKED.finditer(low):
         seen.add(1)
-        hidden.update(_WORD.findall(_around(low, *found.span()).translate(_STANDS_FOR)))
+        word = _around(low, *found.span()).rstrip("!|")
+        hidden.update(_WORD.findall(word.translate(_STANDS_FOR)))
     for found in _STRETCHED.finditer(low):
         seen.add(2)
         word = _around(low, *found.span())
