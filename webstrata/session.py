@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,11 +51,42 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/webstrata/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+# Paths of the tables written in each open `temporary_tables` block, the innermost last.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+
+
+def cut_lineage(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is never recomputed.
 
-    A written table costs one evaluation, where a checkpoint of a plan costs two.
+    A written table costs one evaluation, where a checkpoint of a plan costs two. It stays unless it
+    was written within `temporary_tables`; ``outlive`` leaves it to the block around the innermost.
     """
     path = work_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    blocks = _written.get()[:-1] if outlive else _written.get()
+    if blocks:
+        blocks[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that `cut_lineage` writes within the block when it ends.
+
+    Write results that read them before it ends; frames made within it cannot be read after it.
+    Blocks may be nested, each deletes its own tables.
+    """
+    own: list[str] = []
+    token = _written.set((*_written.get(), own))
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in own:
+            delete_path(spark, path)
