@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from webstrata.llm.frames import components, in_cells
 from webstrata.llm.text import Words, mix, range_hashes, slices, text_bytes
 from webstrata.llm.workers import by_batches, by_group
-from webstrata.session import cut_lineage
+from webstrata.session import cut_lineage, temporary_tables
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -263,7 +263,15 @@ def _links_outside(members: DataFrame, heads: DataFrame, sets: DataFrame, parts:
 
 
 def link(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``."""
+    """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``.
+
+    They are written to the shared folder; the tables made on the way are deleted.
+    """
+    with temporary_tables(docs.sparkSession):
+        return cut_lineage(_link(docs, size, percent), outlive=True)
+
+
+def _link(docs: DataFrame, size: int, percent: int) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                          F.col("text").cast("string").alias("text"))
     signed = cut_lineage(sign(narrow, size))
