@@ -23,6 +23,18 @@ def others(df: DataFrame, names: list[str]) -> list[str]:
     return [column for column in df.columns if column.lower() not in taken]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with as many leading underscores as it takes to clash with no column."""
+    taken = {column.lower() for column in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
 def add_columns(df: DataFrame, ddl: str,
                 compute: Callable[[Iterator[pa.RecordBatch]],
                                   Iterator[tuple[pa.RecordBatch, list[pa.Array]]]],

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.frames import others
+from webstrata.llm.frames import free_names, others
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -64,43 +64,44 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
              "n_stop_words", "max_word_chars"]
     stop = sorted({form for line in STOP_WORDS for word in line.split()
                    for form in (word, word.capitalize())})
-    kept = [F.col(f"`{c}`") for c in others(docs, [*names, "_text", "_words", "_hashes",
-                                                   "_lines", "_windows", "_sorted"])]
+    whole, words, hashes, lines_, windows, ordered = free_names(
+        docs, "_text", "_words", "_hashes", "_lines", "_windows", "_sorted")
+    kept = [F.col(f"`{c}`") for c in others(docs, names)]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    split = docs.select(*kept, body.alias("_text"),
-                        F.array_remove(F.split(body, "[ \\t-\\r]+"), "").alias("_words"))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
+    split = docs.select(*kept, body.alias(whole),
+                        F.array_remove(F.split(body, "[ \\t-\\r]+"), "").alias(words))
+    lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
     first = split.select(
-        *kept, F.transform("_words", lambda x: F.xxhash64(x)).alias("_hashes"),
-        F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
-        F.when(F.col("_text").rlike(f"[{SYMBOLS}]"),
-               F.length("_text") - F.length(F.translate("_text", SYMBOLS, "")))
-        .otherwise(0).cast("bigint").alias("n_symbols"), lines.alias("_lines"))
+        *kept, F.transform(words, lambda x: F.xxhash64(x)).alias(hashes),
+        F.size(words).cast("bigint").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+        F.when(F.col(whole).rlike(f"[{SYMBOLS}]"),
+               F.length(whole) - F.length(F.translate(whole, SYMBOLS, "")))
+        .otherwise(0).cast("bigint").alias("n_symbols"), lines.alias(lines_))
     second = first.select(
         *kept, "n_words", "word_chars", "n_symbols",
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")
+        F.size(lines_).cast("bigint").alias("n_lines"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("bigint")
         .alias("n_dup_lines"),
-        F.size(F.filter("_hashes", lambda x: x.isin([F.xxhash64(F.lit(w)) for w in stop])))
+        F.size(F.filter(hashes, lambda x: x.isin([F.xxhash64(F.lit(w)) for w in stop])))
         .cast("bigint").alias("n_stop_words"),
-        F.when(F.col("n_words") >= WINDOW, _window_hashes(F.col("_hashes"), F.col("n_words")))
-        .alias("_windows"))
+        F.when(F.col("n_words") >= WINDOW, _window_hashes(F.col(hashes), F.col("n_words")))
+        .alias(windows))
     # Most texts have no window twice: only the others are sorted.
-    third = second.withColumn("_sorted", F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    again = F.filter("_sorted", lambda x, i: (
-        (i > 0) & (F.col("_sorted")[F.greatest(i - 1, F.lit(0))]["h"] == x["h"])) | (
-        (i < F.size("_sorted") - 1) & (F.col("_sorted")[
-            F.least(i + 1, F.size("_sorted") - 1)]["h"] == x["h"])))
+    third = second.withColumn(ordered, F.when(
+        F.size(F.array_distinct(windows)) < F.size(windows),
+        F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    again = F.filter(ordered, lambda x, i: (
+        (i > 0) & (F.col(ordered)[F.greatest(i - 1, F.lit(0))]["h"] == x["h"])) | (
+        (i < F.size(ordered) - 1) & (F.col(ordered)[
+            F.least(i + 1, F.size(ordered) - 1)]["h"] == x["h"])))
     places = F.sort_array(F.transform(again, lambda x: x["i"]))
     covered = F.aggregate(
         places, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-WINDOW).alias("last")),
         lambda a, p: F.struct(
             (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")))
     return third.select(*kept, *names[:5],
-                        F.when(F.col("_sorted").isNull(), F.lit(0).cast("bigint"))
+                        F.when(F.col(ordered).isNull(), F.lit(0).cast("bigint"))
                         .otherwise(covered["n"]).alias("n_repeat_words"), "n_stop_words")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.frames import add_columns, text_total
+from webstrata.llm.frames import add_columns, free_names, text_total
 from webstrata.llm.text import Words, slices, text_bytes
 from webstrata.llm.workers import by_batches, by_group
 
@@ -194,11 +194,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, chunk_bytes: int =
         by_group(gather), "_doc bigint, _key bigint, _spans binary")
 
 
-def _cut(part: pa.RecordBatch) -> list[pa.Array]:
-    data, offsets = text_bytes(part.column("_body"))
+def _cut(part: pa.RecordBatch, text: str, intervals: str) -> list[pa.Array]:
+    data, offsets = text_bytes(part.column(text))
     words = Words(data, offsets, hashed=False)
     raw, kept_texts, removed = data.tobytes(), [], []
-    for row, spans in enumerate(part.column("_spans").to_pylist()):
+    for row, spans in enumerate(part.column(intervals).to_pylist()):
         first, last = int(words.first[row]), int(words.first[row + 1])
         keep = np.ones(last - first, bool)
         for begin, end in np.frombuffer(spans or b"", "<i8").reshape(-1, 2).tolist():
@@ -219,21 +219,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
 
     All copies of a passage go, its first included. Columns of these names are replaced.
     """
-    key = F.xxhash64(F.col("text").cast("string"))
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), key.alias("_key"),
-                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    spans = repeated_intervals(narrow, window, chunk_bytes, buckets).groupBy("_doc", "_key").agg(
-        F.first("_spans").alias("_spans"))  # equal rows have equal answers
+    doc, key, body, home, print_, intervals = free_names(
+        docs, "_doc", "_key", "_body", "_id", "_hash", "_spans")
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), hashed.alias("_key"),
+                         text.alias("_text"))
+    spans = repeated_intervals(narrow, window, chunk_bytes, buckets).groupBy(
+        F.col("_doc").alias(doc), F.col("_key").alias(key)).agg(
+        F.first("_spans").alias(intervals))  # equal rows have equal answers
     kept = [F.col(f"`{name}`") for name in docs.columns]
-    left = docs.select(*kept, F.col("doc_id").cast("bigint").alias("_id"), key.alias("_hash"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_body"))
-    joined = left.join(spans, left["_id"].eqNullSafe(spans["_doc"])
-                       & (left["_hash"] == spans["_key"]), "left").drop("_doc", "_key")
+    left = docs.select(*kept, F.col("doc_id").cast("bigint").alias(home), hashed.alias(print_),
+                       text.alias(body))
+    joined = left.join(spans, left[home].eqNullSafe(spans[doc])
+                       & (left[print_] == spans[key]), "left").drop(doc, key)
 
     def compute(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in slices(batch, "_body", chunk_bytes):
-                yield part, _cut(part)
+            for part in slices(batch, body, chunk_bytes):
+                yield part, _cut(part, body, intervals)
 
     return add_columns(joined, "n_words bigint, n_removed bigint, kept_text string", compute,
                        [c for c in docs.columns
