@@ -52,6 +52,10 @@ _ADDRESS = re.compile(r"\b(?:you|u|du|ihr|tu|vous|tú|usted|ustedes)(?:\s+|')"
                       r"(?:are|re|r|bist|seid|es|êtes|eres|son)\s+"
                       r"(?:(?:an?|so|such|all|just|eine?|so|une?|una)\s+)?[^\W\d_]+\s*[!.]")
 _SHOUTED = re.compile(r"(?:\b[^\W\d_a-z]{3,}\b[ ,]*){3,}!")
+# What a text must hold somewhere before the pattern itself is worth a search.
+_MAYBE_SPACED = re.compile(r"[ .*_-](?:[^\W\d_][ .*_-]){2}")
+_MAYBE_MASKED = re.compile(r"[@$!|*0134578]")
+_MAYBE_STRETCHED = re.compile(r"(.)\1\1")
 PATTERNS = ("spaced", "masked", "stretched", "address", "shouted")
 HITS = 3
 # Letters that digits and signs stand for.
@@ -86,21 +90,21 @@ def looks_of(text: str | None) -> tuple[list[int], set[str]]:
     text = text or ""
     low = text.lower()
     seen, hidden = set(), set()
-    for found in _SPACED.finditer(low):
+    for found in _SPACED.finditer(low) if _MAYBE_SPACED.search(low) else ():
         seen.add(0)
         hidden.add("".join(_WORD.findall(found.group()))[:LONGEST_KNOWN])
-    for found in _MASKED.finditer(low):
+    for found in _MASKED.finditer(low) if _MAYBE_MASKED.search(low) else ():
         seen.add(1)
         word = _around(low, *found.span()).rstrip("!|")
         hidden.update(_WORD.findall(word.translate(_STANDS_FOR)))
-    for found in _STRETCHED.finditer(low):
+    for found in _STRETCHED.finditer(low) if _MAYBE_STRETCHED.search(low) else ():
         seen.add(2)
         word = _around(low, *found.span())
         for kept in (r"\1", r"\1\1"):
             hidden.update(_WORD.findall(_STRETCHED.sub(kept, word)))
     if _ADDRESS.search(low):
         seen.add(3)
-    if _SHOUTED.search(text):
+    if "!" in text and _SHOUTED.search(text):
         seen.add(4)
     return sorted(seen), hidden
 
