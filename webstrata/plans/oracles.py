@@ -364,4 +364,6 @@ LEFT JOIN numbered USING (key, seq)""",
 ORACLES["j2_plain_lookup"] = ORACLES["j2_response_lookup"]
 ORACLES["d1_dedup_derived"] = ORACLES["d1_dedup_calls"]
 ORACLES["t1_stream_record_any_source"] = ORACLES["t1_stream_record"]
+ORACLES["s4_warc_commits"] = ORACLES["s4_warc_sink"]
+ORACLES["j6_exchanges"] = ORACLES["s4_warc_sink"]
 ORACLES["s3_warc_compressed"] = ORACLES["s3_warc_source"]

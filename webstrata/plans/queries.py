@@ -101,6 +101,21 @@ def s3_warc_compressed(spark, sf_dir):
         "http_method", "http_status", F.md5("payload").alias("payload_md5"))
 
 
+@query
+def s4_warc_commits(spark, sf_dir):
+    """All calls published by commits in two jobs, over an older archive and an older try of a job."""
+    path, calls = work_path(spark, "warc"), t.calls(spark, sf_dir)
+    good = F.col("status") == 200
+    warc.write_warc(calls, path, commits=True)
+    warc.write_warc(calls.where(good), path, mode="overwrite", commits=True)
+    warc.write_warc(calls, path, job="rest")
+    warc.write_warc(calls.where(~good), path, job="rest", compress=True)
+    return warc.read_exchanges(spark, path).select(
+        F.unix_millis("ts").alias("ts_ms"), "method", "uri", "status",
+        _flat("req_headers").alias("req_headers"), F.md5("req_body").alias("req_md5"),
+        _flat("resp_headers").alias("resp_headers"), F.md5("resp_body").alias("resp_md5"))
+
+
 @query
 def s5_cdx_index(spark, sf_dir):
     """The index as read back; its places are those where a plain read finds the records."""
@@ -486,6 +501,17 @@ def j6_pair_records(spark, sf_dir):
         F.count("*").alias("pairs"), F.sum(F.octet_length("resp_body")).alias("bytes"))
 
 
+@query
+def j6_exchanges(spark, sf_dir):
+    """Exchanges paired where they lie, in small ranges, whose borders part many of them."""
+    path, index = _archive(spark, sf_dir), work_path(spark, "offsets")
+    warc.write_offsets(warc.read_warc(spark, path, payload=False), index, 4096)
+    return warc.read_exchanges(spark, path, index, split_bytes=16384).select(
+        F.unix_millis("ts").alias("ts_ms"), "method", "uri", "status",
+        _flat("req_headers").alias("req_headers"), F.md5("req_body").alias("req_md5"),
+        _flat("resp_headers").alias("resp_headers"), F.md5("resp_body").alias("resp_md5"))
+
+
 # Deduplication, rounds, stability
 
 @query

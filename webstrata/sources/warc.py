@@ -7,6 +7,10 @@ record. The reader yields one row per record, with its file, offset and length i
 Shards are read whole, or in byte ranges planned from their sizes alone. A range reads the records
 that begin in it: its task finds the first one from a sparse index, a small file per shard of the
 offsets of some records, and walks on from there. Neither the driver nor an option holds offsets.
+
+An archive may be published by commits: shards keep the names of their attempts, and a job counts
+from the moment its one commit file appears (`_Commits`). `read_exchanges` pairs requests and
+responses where they lie.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +48,23 @@ _ARROW_SCHEMA = pa.schema([
     ("target_uri", pa.string()), ("date", pa.timestamp("us", "UTC")),
     ("http_method", pa.string()), ("http_status", pa.int32()), ("http_headers", HEADER_TYPE),
     ("payload", pa.binary()), ("payload_digest", pa.string())])
+EXCHANGE_SCHEMA = (
+    "record_id string, ts timestamp, method string, uri string, "
+    "req_headers array<struct<name:string,value:string>>, req_body binary, status int, "
+    "resp_headers array<struct<name:string,value:string>>, resp_body binary")
+_EXCHANGES = pa.schema([
+    ("record_id", pa.string()), ("ts", pa.timestamp("us", "UTC")), ("method", pa.string()),
+    ("uri", pa.string()), ("req_headers", HEADER_TYPE), ("req_body", pa.binary()),
+    ("status", pa.int32()), ("resp_headers", HEADER_TYPE), ("resp_body", pa.binary())])
+PLACE_SCHEMA = "warc_type string, request_id string, filename string, offset bigint"
+_PLACES = pa.schema([("warc_type", pa.string()), ("request_id", pa.string()),
+                     ("filename", pa.string()), ("offset", pa.int64())])
 
 SHARD_BYTES = 1 << 30
 SPLIT_BYTES = 256 << 20
 INDEX_BYTES = 64 << 10  # stretches with one offset each in a sparse index
 BATCH_BYTES = 32 << 20
+PENDING_BYTES = 32 << 20  # requests held beside the records a range streams by
 BROKEN = "broken"  # type of the row that tells where a shard could not be read on
 SOFTWARE = "webstrata"
 _ID_SPACE = uuid.UUID("6f4a3a0e-52c4-5e0e-9a0b-0c5f6a1d7b11")
@@ -117,20 +134,76 @@ def call_records(call: dict) -> list[bytes]:
                     [target, ("WARC-Concurrent-To", ids[0])])]
 
 
+class _Commits:
+    """The commits of an archive, a small file each, which name the shards that count.
+
+    A file is created whole and never changed, so an archive changes at once or not at all. In the
+    order of their names each sets the shards of its jobs, anew where a job comes again, and
+    may leave out all that came before.
+    """
+
+    FOLDER = "_commits"
+
+    def __init__(self, path: str) -> None:
+        self._system, root = _file_system(path)
+        self._root = f"{root}/{self.FOLDER}"
+
+    def _files(self) -> list[pyarrow.fs.FileInfo]:
+        found = self._system.get_file_info(
+            pyarrow.fs.FileSelector(self._root, allow_not_found=True))
+        return sorted((f for f in found if f.base_name.endswith(".json")
+                       and not f.base_name.startswith(("_", "."))), key=lambda f: f.base_name)
+
+    def exist(self) -> bool:
+        return bool(self._files())
+
+    def jobs(self) -> dict[str, list[str]] | None:
+        """Names of the shards that count, by job; None where the archive has no commits."""
+        files, jobs = self._files(), {}
+        for info in files:
+            with self._system.open_input_file(info.path) as stream:
+                commit = json.loads(stream.read())
+            if commit["alone"]:
+                jobs = {}
+            jobs.update(commit["jobs"])
+        return jobs if files else None
+
+    def add(self, jobs: dict[str, list[str]], alone: bool) -> None:
+        files = self._files()
+        number = int(files[-1].base_name.split("-")[0]) + 1 if files else 0
+        name = f"{number:012d}-{uuid.uuid4().hex}.json"
+        self._system.create_dir(self._root, recursive=True)
+        with self._system.open_output_stream(f"{self._root}/_{name}") as stream:
+            stream.write(json.dumps({"alone": alone, "jobs": jobs}).encode())
+        self._system.move(f"{self._root}/_{name}", f"{self._root}/{name}")
+
+    def compact(self) -> None:
+        """Replace all commits by one of the same shards."""
+        files, jobs = self._files(), self.jobs()
+        if len(files) > 1:
+            self.add(jobs, alone=True)
+            for info in files:
+                self._system.delete_file(info.path)
+
+
 @dataclass
 class _Shards(WriterCommitMessage):
     moves: list[tuple[str, str]]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes shards under attempt-specific names; the commit gives them their final ones."""
+    """Writes shards under attempt-specific names; the commit gives them their final ones.
+
+    With ``commits`` they keep those names, and a commit file makes them count.
+    """
 
     def __init__(self, path: str, shard_bytes: int, overwrite: bool, job: str | None,
-                 compress: bool = False) -> None:
+                 compress: bool = False, commits: bool = False) -> None:
         self.path, self.shard_bytes, self.overwrite = path, shard_bytes, overwrite
         self.suffix = ".warc.gz" if compress else ".warc"
         self.packed = (lambda record: gzip.compress(record, mtime=0)) if compress else bytes
         self.job, self.named = job or uuid.uuid4().hex[:12], job is not None
+        self.commits = commits or _Commits(path).exist()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -149,10 +222,15 @@ class WarcWriter(DataSourceArrowWriter):
                     if stream is None or size >= self.shard_bytes:
                         if stream is not None:
                             stream.close()
-                        name = f"part-{context.partitionId():06d}-{len(moves):04d}-{self.job}{self.suffix}"
-                        temporary = f"{root}/_{name}.{context.taskAttemptId()}"
+                        name = f"part-{context.partitionId():06d}-{len(moves):04d}-{self.job}"
+                        if self.commits:
+                            # Unlike in a replay by another application, too.
+                            name += f"-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+                        name += self.suffix
+                        temporary = f"{root}/{name}" if self.commits else (
+                            f"{root}/_{name}.{context.taskAttemptId()}")
                         moves.append((temporary, f"{root}/{name}"))
-                        stream, size = system.open_output_stream(temporary), 0
+                        stream, size = system.open_output_stream(temporary, compression=None), 0
                         info = f"software: {SOFTWARE}\r\n".encode()
                         size += stream.write(self.packed(_record(
                             "warcinfo", f"<urn:uuid:{uuid.uuid5(_ID_SPACE, name)}>",
@@ -166,6 +244,16 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = _file_system(self.path)
+        if self.commits:
+            log = _Commits(self.path)
+            jobs = {self.job: [final.rsplit("/", 1)[-1] for message in messages
+                               for _, final in (message.moves if message else [])]}
+            if not self.overwrite and not log.exist():
+                # Shards of before count on; this job's, of none yet, wait for its commit.
+                jobs = {"": [info.base_name for info in _shard_files(self.path)
+                             if f"-{self.job}-" not in info.base_name], **jobs}
+            log.add(jobs, alone=self.overwrite)
+            return
         old = [info for info in _shard_files(self.path) if self.overwrite or (
             self.named and info.base_name.endswith((f"-{self.job}.warc", f"-{self.job}.warc.gz")))]
         new = {final.rsplit("/", 1)[-1] for message in messages
@@ -192,8 +280,38 @@ def _shard_files(path: str) -> list[pyarrow.fs.FileInfo]:
     if info.type == pyarrow.fs.FileType.File:
         return [info]
     found = system.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
-    return sorted((f for f in found if f.type == pyarrow.fs.FileType.File
-                   and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
+    shards = sorted((f for f in found if f.type == pyarrow.fs.FileType.File
+                     and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
+    if not any(f.base_name == _Commits.FOLDER for f in found):
+        return shards
+    jobs = _Commits(path).jobs()
+    if jobs is None:
+        return shards
+    listed = {name for names in jobs.values() for name in names}
+    missing = listed - {f.base_name for f in shards}
+    if missing:
+        raise FileNotFoundError(f"{path}: shards of a commit are missing: {sorted(missing)[:5]}")
+    return [f for f in shards if f.base_name in listed]
+
+
+def clean_archive(path: str) -> int:
+    """Delete shards that no commit names, of failed or replaced jobs; the count of them.
+
+    For archives published by commits, while no job writes to or reads from them. Their commits
+    become one.
+    """
+    log = _Commits(path)
+    if not log.exist():
+        return 0
+    system, root = _file_system(path)
+    kept = {info.path for info in _shard_files(path)}
+    found = system.get_file_info(pyarrow.fs.FileSelector(root))
+    gone = [f.path for f in found if f.type == pyarrow.fs.FileType.File
+            and f.base_name.endswith((".warc", ".warc.gz")) and f.path not in kept]
+    log.compact()
+    for file in gone:
+        system.delete_file(file)
+    return len(gone)
 
 
 @dataclass
@@ -230,6 +348,19 @@ def _parse_http(kind: str, block: bytes) -> tuple:
     return None, status, headers, payload
 
 
+def _parse_record(kind: str, fields: dict, block: bytes) -> tuple:
+    """Method, status, headers and payload of a record; none unless it holds an HTTP message."""
+    if kind in ("request", "response") and fields.get("content-type", "").startswith(
+            "application/http"):
+        return _parse_http(kind, block)
+    return None, None, None, None
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
+
+
 def _parse_date(text: str | None) -> datetime.datetime | None:
     if not text:
         return None
@@ -240,6 +371,7 @@ class _Plain:
     """Records of an uncompressed shard, from an offset on."""
 
     def __init__(self, raw, name: str, offset: int) -> None:
+        self._size = raw.size()
         raw.seek(offset)
         self._stream, self._name, self.offset = io.BufferedReader(raw, 1 << 20), name, offset
 
@@ -250,14 +382,17 @@ class _Plain:
             self.offset += found[2]
         return found
 
-    def skip(self) -> bool:
+    def head(self) -> tuple[dict, int] | None:
+        """Fields and length of that record; its block is not read."""
         head = _read_head(self._stream, self._name, self.offset)
         if head is None:
-            return False
+            return None
         length = head[1] + int(head[0]["content-length"]) + 4
+        if self.offset + length > self._size:
+            raise ValueError(f"{self._name}: cut off record at {self.offset}")
         self.offset += length
         self._stream.seek(self.offset)
-        return True
+        return head[0], length
 
 
 class _Members:
@@ -294,12 +429,17 @@ class _Members:
         self.offset += length
         return found[0], found[1], length
 
-    def skip(self) -> bool:
+    def head(self) -> tuple[dict, int] | None:
         member = self._member()
         if member is None:
-            return False
+            return None
+        found = _read_head(io.BytesIO(member[0]), self._name, self.offset)
         self.offset += member[1]
-        return True
+        return found[0], member[1]
+
+
+def _records(raw, name: str, offset: int) -> _Plain | _Members:
+    return (_Members if name.endswith(".gz") else _Plain)(raw, name, offset)
 
 
 def _read_head(stream, name: str, offset: int) -> tuple[dict, int] | None:
@@ -367,10 +507,9 @@ class WarcReader(DataSourceReader):
         name = partition.path.rsplit("/", 1)[-1]
         rows, held = [], 0
         with system.open_input_file(partition.path) as raw:
-            kind = _Members if name.endswith(".gz") else _Plain
-            records = kind(raw, name, self._known_start(name, partition.start))
+            records = _records(raw, name, self._known_start(name, partition.start))
             try:
-                while records.offset < partition.start and records.skip():
+                while records.offset < partition.start and records.head():
                     pass  # records of the ranges before
                 while partition.start <= records.offset < partition.end:
                     offset, found = records.offset, records.next()
@@ -379,7 +518,7 @@ class WarcReader(DataSourceReader):
                     rows.append(self._row(name, offset, *found))
                     held += found[2] if self.keep_payload else 1024
                     if held >= BATCH_BYTES:
-                        yield self._batch(rows)
+                        yield _batch(rows, _ARROW_SCHEMA)
                         rows, held = [], 0
             except ValueError as error:
                 if self.strict:
@@ -387,25 +526,100 @@ class WarcReader(DataSourceReader):
                 if records.offset >= partition.start:
                     rows.append((name, records.offset, None, BROKEN, str(error), *[None] * 8))
         if rows:
-            yield self._batch(rows)
+            yield _batch(rows, _ARROW_SCHEMA)
 
     def _row(self, name: str, offset: int, fields: dict, block: bytes, length: int) -> tuple:
         kind = fields["warc-type"]
-        method = status = headers = payload = digest = None
-        if kind in ("request", "response") and fields.get("content-type", "").startswith(
-                "application/http"):
-            method, status, headers, payload = _parse_http(kind, block)
-            digest = _digest(payload) if kind == "response" else None
+        method, status, headers, payload = _parse_record(kind, fields, block)
+        digest = _digest(payload) if kind == "response" and payload is not None else None
         return (name, offset, length, kind, fields.get("warc-record-id"),
                 fields.get("warc-concurrent-to"), fields.get("warc-target-uri"),
                 _parse_date(fields.get("warc-date")), method, status, headers,
                 payload if self.keep_payload else None, digest)
 
-    @staticmethod
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(column, field.type) for column, field in zip(zip(*rows), _ARROW_SCHEMA)],
-            schema=_ARROW_SCHEMA)
+
+def _exchange(request: tuple[dict, bytes], response: tuple[dict, bytes]) -> tuple:
+    """A row of `EXCHANGE_SCHEMA` from the fields and blocks of two records."""
+    (sent, block), (fields, answer) = request, response
+    method, _, req_headers, req_body = _parse_record("request", sent, block)
+    _, status, resp_headers, resp_body = _parse_record("response", fields, answer)
+    return (fields.get("warc-record-id"), _parse_date(fields.get("warc-date")), method,
+            fields.get("warc-target-uri"), req_headers, req_body, status, resp_headers, resp_body)
+
+
+class _Pending:
+    """The latest requests of a range, of bounded size, that responses may refer to.
+
+    What is held depends on heads alone, so a walk over heads tells which responses find none.
+    """
+
+    def __init__(self) -> None:
+        self._held: dict[str, tuple[object, int]] = {}
+        self._bytes = 0
+
+    def put(self, record_id: str, request, length: int) -> None:
+        self._bytes += length - self._held.pop(record_id, (None, 0))[1]
+        self._held[record_id] = (request, length)
+        while self._bytes > PENDING_BYTES and len(self._held) > 1:
+            self._bytes -= self._held.pop(next(iter(self._held)))[1]
+
+    def get(self, record_id: str):
+        return self._held.get(record_id, (None, 0))[0]
+
+
+class ExchangeReader(WarcReader):
+    """Reads exchanges whose request comes before its response in one range.
+
+    With ``heads``, reads no blocks and yields where the other responses lie, and all requests.
+    """
+
+    def __init__(self, *args, heads: bool = False) -> None:
+        super().__init__(*args)
+        self.heads = heads
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        system, _ = _file_system(self.path)
+        name = partition.path.rsplit("/", 1)[-1]
+        schema = _PLACES if self.heads else _EXCHANGES
+        rows, held, pending = [], 0, _Pending()
+        with system.open_input_file(partition.path) as raw:
+            records = _records(raw, name, self._known_start(name, partition.start))
+            try:
+                while records.offset < partition.start and records.head():
+                    pass  # records of the ranges before
+                while partition.start <= records.offset < partition.end:
+                    offset = records.offset
+                    if self.heads:
+                        found = records.head()
+                        fields, block, length = (found[0], b"", found[1]) if found else (None,) * 3
+                    else:
+                        fields, block, length = records.next() or (None,) * 3
+                    if fields is None:
+                        break
+                    kind, own = fields["warc-type"], fields.get("warc-record-id")
+                    asked = fields.get("warc-concurrent-to")
+                    if kind == "request" and own:
+                        pending.put(own, (fields, block), length)
+                        if self.heads:
+                            rows.append((kind, own, name, offset))
+                    elif kind == "response" and asked:
+                        request = pending.get(asked)
+                        if self.heads and request is None:
+                            rows.append((kind, asked, name, offset))
+                        elif not self.heads and request is not None:
+                            rows.append(_exchange(request, (fields, block)))
+                            held += length
+                    held += 200
+                    if held >= BATCH_BYTES and rows:
+                        yield _batch(rows, schema)
+                        rows, held = [], 0
+            except ValueError:
+                if self.strict:
+                    raise
+        if rows:
+            yield _batch(rows, schema)
 
 
 class WarcDataSource(DataSource):
@@ -414,10 +628,13 @@ class WarcDataSource(DataSource):
         return "warc"
 
     def schema(self) -> str:
-        return RECORD_SCHEMA
+        return {"exchanges": EXCHANGE_SCHEMA, "places": PLACE_SCHEMA}.get(
+            self.options.get("rows"), RECORD_SCHEMA)
 
     def reader(self, schema) -> DataSourceReader:
-        return WarcReader(self.options["path"], json.loads(self.options.get("ranges", "{}")),
+        rows = self.options.get("rows", "records")
+        kind = WarcReader if rows == "records" else partial(ExchangeReader, heads=rows == "places")
+        return kind(self.options["path"], json.loads(self.options.get("ranges", "{}")),
                           self.options.get("payload", "true").lower() == "true",
                           self.options.get("index"),
                           int(self.options.get("splitbytes", SPLIT_BYTES)),
@@ -427,7 +644,8 @@ class WarcDataSource(DataSource):
         return WarcWriter(self.options["path"],
                           int(self.options.get("shardbytes", SHARD_BYTES)), overwrite,
                           self.options.get("job"),
-                          self.options.get("compress", "false").lower() == "true")
+                          self.options.get("compress", "false").lower() == "true",
+                          self.options.get("commits", "false").lower() == "true")
 
 
 def register_warc(spark: SparkSession) -> None:
@@ -436,18 +654,20 @@ def register_warc(spark: SparkSession) -> None:
 
 def write_warc(calls: DataFrame, path: str, mode: str = "append",
                shard_bytes: int = SHARD_BYTES, job: str | None = None,
-               compress: bool = False) -> None:
+               compress: bool = False, commits: bool = False) -> None:
     """Write calls that got a response as WARC shards below ``path``.
 
     Shards of a named ``job`` replace those it left before. With ``compress`` each record is a gzip
-    member of a ``.warc.gz`` shard.
+    member of a ``.warc.gz`` shard. With ``commits``, or where the archive has some, shards count
+    from the moment one commit file appears: until then readers see the archive of before, and no
+    file is renamed or deleted (`clean_archive` deletes what no commit names).
     """
     from webstrata.sources.calls import CALL_COLUMNS
 
     register_warc(calls.sparkSession)
     writer = (calls.where(F.col("status").isNotNull()).select(*CALL_COLUMNS).write.format("warc")
               .mode(mode).option("shardBytes", str(shard_bytes))
-              .option("compress", str(compress).lower()))
+              .option("compress", str(compress).lower()).option("commits", str(commits).lower()))
     (writer.option("job", job) if job else writer).save(path)
 
 
@@ -502,6 +722,63 @@ def read_warc(spark: SparkSession, path: str, cdx: DataFrame | None = None,
     return (reader.option("index", index) if index else reader).load(path)
 
 
+def read_exchanges(spark: SparkSession, path: str, index: str | None = None,
+                   split_bytes: int = SPLIT_BYTES, strict: bool = True) -> DataFrame:
+    """Exchanges of an archive, rows of `EXCHANGE_SCHEMA`: responses with the request they name.
+
+    A range pairs records as they stream by, so bodies of neighbours never leave their task. A walk
+    over heads alone finds the responses whose request lies elsewhere: behind them, in another
+    range or shard, or too far ahead. Their places, narrow rows, are joined, and both
+    records are read there. A response gets one row at most: of requests of one id, the latest
+    before it in its range, else the first by file and offset. Unless ``strict``, records behind
+    a broken one in its range are left out.
+    """
+    from webstrata.session import cut_lineage
+
+    register_warc(spark)
+
+    def rows_of(kind: str) -> DataFrame:
+        reader = (spark.read.format("warc").option("rows", kind)
+                  .option("strict", str(strict).lower()).option("splitBytes", str(split_bytes)))
+        return (reader.option("index", index) if index else reader).load(path)
+
+    places = cut_lineage(rows_of("places"))
+    apart = places.where("warc_type = 'response'").drop("warc_type")
+    requests = places.where("warc_type = 'request'").select(
+        "request_id", F.struct("filename", "offset").alias("request"))
+    both = apart.join(requests, "request_id").groupBy("filename", "offset").agg(
+        F.min("request").alias("request"))
+    located = both.select("filename", "offset", F.col("request.filename").alias("req_filename"),
+                          F.col("request.offset").alias("req_offset"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _file_system(path)
+        alone = system.get_file_info(root).type == pyarrow.fs.FileType.File
+
+        def record(name: str, offset: int) -> tuple[dict, bytes]:
+            with system.open_input_file(root if alone else f"{root}/{name}") as raw:
+                return _records(raw, name, offset).next()[:2]
+
+        for batch in batches:
+            rows, held = [], 0
+            for name, offset, req_name, req_offset in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    request, response = record(req_name, req_offset), record(name, offset)
+                except ValueError:
+                    if strict:
+                        raise
+                    continue
+                rows.append(_exchange(request, response))
+                held += len(request[1]) + len(response[1])
+                if held >= BATCH_BYTES:
+                    yield _batch(rows, _EXCHANGES)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows, _EXCHANGES)
+
+    return rows_of("exchanges").unionByName(located.mapInArrow(fetch, EXCHANGE_SCHEMA))
+
+
 def split_points(cdx: DataFrame, split_bytes: int = SPLIT_BYTES) -> dict[str, list[int]]:
     """First record offset in each stretch of ``split_bytes``: a few numbers per file."""
     stretches = cdx.groupBy(
