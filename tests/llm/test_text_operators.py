@@ -150,14 +150,16 @@ def test_quality(docs):
         assert row["base_failed"] == failed and not (failed and row["kept"])
 
 
-def test_candidates_touch_no_span():
+def test_candidates_are_all_runs_no_span_covers():
     runs = ["deadbeef" * 3, "user-name-2024-abcdefgh", "x" * 20, "AKIA" + "Q7" * 9, "a1" * 8 + "Z"]
     text = " ".join(runs[i * 7 % 5] + ("=" if i % 3 else "é") for i in range(60))
     spans = secrets.base_spans(text)
-    want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text)
-            if re.search("[0-9]", m[0])
-            and not any(b < m.end() and m.start() < e for b, e, _ in spans)]
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text)
+            if not any(b <= m.start() and m.end() <= e for b, e, _ in spans)]
     assert spans and want and secrets.candidates(text, spans) == want
+    assert {text[b:e].rstrip("=") for b, e in want} >= {"x" * 20, "a1" * 8 + "Z"}
+    around = f"{'AKIA' + 'Q7' * 9}-restOfTheToken99"
+    assert secrets.candidates(around, secrets.base_spans(around)) == [(0, len(around))]
 
 
 def test_secrets(spark):

@@ -1,12 +1,15 @@
-"""Secret scans: fixed patterns, and a character network over every other candidate.
-
-Base spans come from the patterns below. Candidates are longest runs of token characters, of 16
-or more with a digit, that touch no base span. A small convolutional network in numpy reads each
-candidate with its context. It is trained on findings labelled by the base patterns in at most
-``SAMPLE_DOCS`` documents, chosen by a hash of doc_id, of at most ``SAMPLE_WINDOWS`` different
-windows, chosen by a hash too, and on drawn secrets and look-alikes.
-Platt scaling on findings kept aside calibrates it; the threshold is the highest that keeps the
-required recall there. Candidates longer than the network's window are read in windows.
+"""Secret scans: fixed patterns, and a character network over every candidate.
+
+Base spans come from the patterns below. Candidates are all longest runs of 12 or more token
+characters, with or without digits, but for those that one base span covers whole: a run that
+goes on beside a base span is read whole. A small convolutional network in numpy reads each
+candidate with its context. It is trained on findings in at most ``SAMPLE_DOCS`` documents, chosen
+by a hash of doc_id, of at most ``SAMPLE_WINDOWS`` different windows, chosen by a hash too, and
+on drawn secrets and look-alikes. What base patterns mark is a secret; other runs are not, unless
+they look random: such may be keys of other formats and get no label.
+Findings kept aside are parted: Platt scaling on one part calibrates the network, and the threshold
+is the highest that keeps the required recall on the other. Candidates longer than the network's
+window are read in windows.
 
 A null text is empty and has no spans. Repeated rows have equal spans; columns whose names clash
 with the outputs give way. Offsets are code points, ends exclusive.
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -38,12 +41,13 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "cnn")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_PIECE = re.compile(r"[A-Za-z0-9]{12,}")
 
-SAMPLE_DOCS = 2000
-SAMPLE_WINDOWS = 50_000
-DRAWN = 1500
-RECALL = 0.97
+SAMPLE_DOCS = 4000
+SAMPLE_WINDOWS = 20_000
+DRAWN = 8000
+RECALL = 0.985
 LEFT, INSIDE, RIGHT = 24, 48, 8
 _WIDTH = LEFT + INSIDE + RIGHT
 CHUNK_BYTES = 1 << 20
@@ -76,19 +80,30 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """Runs that may be secrets and touch no span; spans are in order of their begins."""
+    """Runs that may be secrets and lie in no span; spans are in order of their begins."""
     begins = [begin for begin, _, _ in spans]
     furthest = list(accumulate((end for _, end, _ in spans), max))
     out = []
     for match in _RUN.finditer(text):
         begin, end = match.span()
-        before = bisect_left(begins, end)  # that many spans begin ahead of the run's end
-        touched = before > 0 and furthest[before - 1] > begin
-        if not touched and any(c.isdigit() for c in match[0]):
+        before = bisect_right(begins, begin)  # that many spans begin no later than the run
+        if not before or furthest[before - 1] < end:
             out.append((begin, end))
     return out
 
 
+def looks_random(run: str) -> bool:
+    """Whether a run has a long piece of changing kinds of characters, or almost without vowels."""
+    for piece in _PIECE.findall(run):
+        kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in piece]
+        changes = sum(a != b for a, b in zip(kinds[1:], kinds[2:]))
+        letters = [c for c in piece.lower() if not c.isdigit()]
+        vowels = sum(c in "aeiouy" for c in letters)
+        if 6 * changes >= len(piece) or (len(letters) >= 10 and 5 * vowels < len(letters)):
+            return True
+    return False
+
+
 def windows(text: str, begin: int, end: int) -> list[np.ndarray]:
     """Codes of a candidate in its context, one window for each ``INSIDE`` characters."""
     out = []
@@ -159,11 +174,13 @@ class Network:
         flat, values = grown.reshape(-1, filters), patches.reshape(-1, patches.shape[2])
         to_patches = grown @ self.kernel.T
         size = self.embed.shape[1]
-        update = np.zeros_like(self.embed)
+        update = np.empty_like(self.embed)
         positions = active.shape[1]
+        spread = np.zeros((*codes.shape, size), np.float32)
         for place in range(len(self.kernel) // size):
-            np.add.at(update, codes[:, place:place + positions],
-                      to_patches[:, :, place * size:(place + 1) * size])
+            spread[:, place:place + positions] += to_patches[:, :, place * size:(place + 1) * size]
+        for part in range(size):
+            update[:, part] = np.bincount(codes.ravel(), spread[:, :, part].ravel(), 256)
         self.kernel -= rate * (values.T @ flat)
         self.shift -= rate * flat.sum(axis=0)
         self.out -= rate * (error @ pooled)
@@ -175,7 +192,10 @@ def _drawn(random: np.random.Generator, count: int) -> list[tuple[str, int, int,
     """Secrets and look-alikes as (text, begin, end, label)."""
     alphabets = ("0123456789abcdef", "0123456789ABCDEF",
                  "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-                 "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+                 "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
+                 "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-",
+                 "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+                 "abcdefghijklmnopqrstuvwxyz0123456789")
     leads = ("key = ", "token: ", "auth ", "Bearer ", "secret=", "export KEY=", "and the ", "")
     syllables = ("an", "the", "ver", "ion", "que", "ment", "lich", "ado", "re", "st", "ung", "al")
 
@@ -187,17 +207,21 @@ def _drawn(random: np.random.Generator, count: int) -> list[tuple[str, int, int,
     for turn in range(count):
         lead = pick(syllables, 6) + " " + pick(leads)
         if turn % 2:
-            body = pick(("sk-", "ghp_", "xoxb-", "AKIA", "", "", "")) + pick(
-                alphabets[turn // 2 % 4], int(random.integers(20, 60)))
+            size = int(random.integers(12, 18) if turn % 4 == 1 else random.integers(16, 60))
+            lower = "abcdefghijklmnopqrstuvwxyz"
+            prefix = pick(("sk-", "ghp_", "xoxb-", "AKIA", "", "", "", "", pick(lower, int(
+                random.integers(2, 7))) + pick(("-", "_"))))
+            body = prefix + pick(alphabets[turn // 2 % len(alphabets)], size)
             label = 1
         else:
-            label, kind = 0, turn // 2 % 5
+            label, kind = 0, turn // 2 % 7
             word = pick(syllables, int(random.integers(4, 9)))
             number = str(int(random.integers(1900, 2030)))
             body = (f"{word}-{number}-{pick(syllables, 4)}", f"{number}-11-05/{word}/{number}",
                     f"{word}_{pick(syllables, 3)}_{number}", f"{word.capitalize()}{number}",
                     pick("0123456789", 4) + "-" + pick("0123456789", 6) + "-" + pick(
-                        "0123456789", 6))[kind]
+                        "0123456789", 6), word + pick(syllables, 3),
+                    (word + pick(syllables, 3)).upper())[kind]
             body = body if len(body) >= 16 else body + "-" + pick(syllables, 8)
         text = lead + body + " " + pick(syllables, 5)
         out.append((text, len(lead), len(lead) + len(body), label))
@@ -207,7 +231,8 @@ def _drawn(random: np.random.Generator, count: int) -> list[tuple[str, int, int,
 def _labelled(text: str | None) -> tuple[list[np.ndarray], list[int]]:
     """Findings of one text: what base patterns mark is a secret, other candidates are not.
 
-    Runs of digits alone are left out: they may be any number.
+    Left out are runs of digits alone, which may be any number, and others that look random or
+    hold a base span.
     """
     codes, labels = [], []
     spans = base_spans(text or "")
@@ -219,18 +244,21 @@ def _labelled(text: str | None) -> tuple[list[np.ndarray], list[int]]:
             codes += found
             labels += [1] * len(found)
     for begin, end in candidates(text or "", spans):
-        found = windows(text, begin, end)
-        codes += found
-        labels += [0] * len(found)
+        if not (text[begin:end].isdigit() or looks_random(text[begin:end])
+                or any(b < end and begin < e for b, e, _ in spans)):
+            found = windows(text, begin, end)
+            codes += found
+            labels += [0] * len(found)
     return codes, labels
 
 
 def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, seed: int = 5,
-          epochs: int = 12) -> Network:
-    """Fit, calibrate and set the threshold; every fifth finding is kept aside for the latter."""
+          epochs: int = 16) -> Network:
+    """Fit, calibrate and set the threshold, on three, one and one of five parts of the findings."""
     random = np.random.default_rng(seed)
     order = random.permutation(len(codes))
-    aside, used = order[::5], np.delete(order, np.s_[::5])
+    aside, kept = order[::5], order[1::5]
+    used = np.concatenate([order[2::5], order[3::5], order[4::5]])
     network = Network.fresh(random)
     for epoch in range(epochs):
         random.shuffle(used)
@@ -244,7 +272,7 @@ def train(codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, seed: i
         slope -= 0.05 * float((error * logits).mean() + 1e-3 * slope)
         offset -= 0.05 * float(error.mean())
     network.slope, network.offset = slope, offset
-    hits = np.sort(network.probabilities(codes[aside])[truth > 0])
+    hits = np.sort(network.probabilities(codes[kept])[labels[kept] > 0])
     network.threshold = float(hits[int((1 - recall) * len(hits))]) if len(hits) else 1.1
     return network
 
