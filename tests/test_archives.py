@@ -97,3 +97,41 @@ def test_members_of_several_records_are_refused(spark, folder):
     with pytest.raises(Exception, match="not one record"):
         warc.read_warc(spark, f"{folder}/w").count()
     assert warc.read_warc(spark, f"{folder}/w", strict=False).count() == 2
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_small_ranges_share_tasks(spark, calls, folder, compress, monkeypatch):
+    path, index = f"{folder}/w", f"{folder}/index"
+    warc.write_warc(calls.coalesce(2), path, compress=compress)
+    warc.write_offsets(warc.read_warc(spark, path, payload=False), index, 64)
+    monkeypatch.setattr(warc, "TASKS", 5)
+
+    def read(kind, split, **options):
+        reader = kind(path, {}, True, index, split, **options)
+        parts = reader.partitions()
+        return parts, [r for part in parts for b in reader.read(part) for r in b.to_pylist()]
+
+    whole = read(warc.WarcReader, 1 << 30)
+    for split in (64, 500):
+        parts, rows = read(warc.WarcReader, split)
+        assert len(parts) <= 8 and sum(len(part.cuts) for part in parts) > 50
+        assert sorted(map(str, rows)) == sorted(map(str, whole[1]))
+        # Borders between ranges part exchanges within a task as they did between tasks.
+        monkeypatch.setattr(warc, "TASKS", 1 << 40)
+        own, places = read(warc.ExchangeReader, split, heads=True)
+        monkeypatch.setattr(warc, "TASKS", 5)
+        assert len(own) > 50 and sorted(map(str, places)) == sorted(map(str, read(
+            warc.ExchangeReader, split, heads=True)[1]))
+        assert any(r["warc_type"] == "response" for r in places)
+    # A broken record ends its range, not its task.
+    shard = next(p.path for p in read(warc.WarcReader, 500)[0])
+    with open(shard, "r+b") as handle:
+        handle.seek(os.path.getsize(shard) // 2)
+        handle.write(b"\0" * 700)
+    kept = read(warc.WarcReader, 500, strict=False)[1]
+    broken = [r for r in kept if r["warc_type"] == warc.BROKEN]
+    name = os.path.basename(shard)
+    last = max(r["offset"] for r in whole[1] if r["filename"] == name)
+    if compress:  # bytes of a plain payload are what they are
+        assert broken
+    assert any(r["filename"] == name and r["offset"] == last for r in kept)

@@ -5,8 +5,9 @@ bounded size that start with their own warcinfo record; compressed ones have one
 record. The reader yields one row per record, with its file, offset and length in the file.
 
 Shards are read whole, or in byte ranges planned from their sizes alone. A range reads the records
-that begin in it: its task finds the first one from a sparse index, a small file per shard of the
-offsets of some records, and walks on from there. Neither the driver nor an option holds offsets.
+that begin in it. Small ranges that lie side by side share a task, which finds the first record from
+a sparse index, a small file per shard of the offsets of some records, and walks on from there.
+Neither the driver nor an option holds offsets.
 
 An archive may be published by commits: shards keep the names of their attempts, and a job counts
 from the moment its one commit file appears (`_Commits`). `read_exchanges` pairs requests and
@@ -24,7 +25,9 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass
 from functools import partial
 
@@ -62,6 +65,8 @@ _PLACES = pa.schema([("warc_type", pa.string()), ("request_id", pa.string()),
 
 SHARD_BYTES = 1 << 30
 SPLIT_BYTES = 256 << 20
+TASK_BYTES = 16 << 20  # neighbouring ranges that one task reads, unless they are larger
+TASKS = 256  # an archive is dealt into as many tasks at least, if it has the ranges
 INDEX_BYTES = 64 << 10  # stretches with one offset each in a sparse index
 BATCH_BYTES = 32 << 20
 PENDING_BYTES = 32 << 20  # requests held beside the records a range streams by
@@ -315,11 +320,26 @@ def clean_archive(path: str) -> int:
 
 
 @dataclass
-class _Range(InputPartition):
+class _Ranges(InputPartition):
+    """Ranges of a shard, side by side, that one task reads: from each cut to the next or ``end``."""
+
     path: str
-    start: int
+    cuts: Sequence[int]
     end: int
 
+    def each(self) -> Iterator[tuple[int, int]]:
+        for at, start in enumerate(self.cuts):
+            yield start, self.cuts[at + 1] if at + 1 < len(self.cuts) else self.end
+
+
+def _deal(path: str, cuts: Sequence[int], size: int, task_bytes: int) -> Iterator[_Ranges]:
+    """The ranges of a shard, as many neighbours to a task as begin within ``task_bytes``."""
+    first = 0
+    while first < len(cuts):
+        last = max(first + 1, bisect_left(cuts, cuts[first] + task_bytes))
+        yield _Ranges(path, cuts[first:last], cuts[last] if last < len(cuts) else size)
+        first = last
+
 
 def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode("ascii")
@@ -370,10 +390,10 @@ def _parse_date(text: str | None) -> datetime.datetime | None:
 class _Plain:
     """Records of an uncompressed shard, from an offset on."""
 
-    def __init__(self, raw, name: str, offset: int) -> None:
+    def __init__(self, raw, name: str, offset: int, ahead: int) -> None:
         self._size = raw.size()
         raw.seek(offset)
-        self._stream, self._name, self.offset = io.BufferedReader(raw, 1 << 20), name, offset
+        self._stream, self._name, self.offset = io.BufferedReader(raw, ahead), name, offset
 
     def next(self) -> tuple[dict, bytes, int] | None:
         """Fields, block and length of the record at ``offset``; the next one is then there."""
@@ -398,14 +418,15 @@ class _Plain:
 class _Members:
     """Records of a shard of gzip members, one each, from the offset of a member on."""
 
-    def __init__(self, raw, name: str, offset: int) -> None:
+    def __init__(self, raw, name: str, offset: int, ahead: int) -> None:
         raw.seek(offset)
         self._raw, self._name, self.offset, self._held = raw, name, offset, b""
+        self._ahead = min(ahead, 1 << 18)
 
     def _member(self) -> tuple[bytes, int] | None:
         parts, used, unpack = [], 0, zlib.decompressobj(31)
         while not unpack.eof:
-            data = self._held or self._raw.read(1 << 18)
+            data = self._held or self._raw.read(self._ahead)
             if not data:
                 if not used:
                     return None
@@ -438,8 +459,9 @@ class _Members:
         return found[0], member[1]
 
 
-def _records(raw, name: str, offset: int) -> _Plain | _Members:
-    return (_Members if name.endswith(".gz") else _Plain)(raw, name, offset)
+def _records(raw, name: str, offset: int, ahead: int = 1 << 20) -> _Plain | _Members:
+    """Records from ``offset`` on, read ``ahead`` bytes at a time."""
+    return (_Members if name.endswith(".gz") else _Plain)(raw, name, offset, ahead)
 
 
 def _read_head(stream, name: str, offset: int) -> tuple[dict, int] | None:
@@ -478,14 +500,21 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
-        for info in _shard_files(self.path):
-            if self.index is not None:
-                cuts = [*range(0, info.size, self.split_bytes), info.size]
-            else:
-                cuts = [0, *(c for c in self.ranges.get(info.base_name, []) if 0 < c < info.size),
-                        info.size]
-            parts.extend(_Range(info.path, a, b) for a, b in zip(cuts, cuts[1:]))
-        return parts or [_Range("", 0, 0)]
+        shards = _shard_files(self.path)
+        task_bytes = min(TASK_BYTES, sum(info.size for info in shards) // TASKS)
+        for info in shards:
+            cuts: Sequence[int] = range(0, info.size, self.split_bytes)
+            if self.index is None:
+                cuts = [0, *(c for c in self.ranges.get(info.base_name, []) if 0 < c < info.size)]
+            parts.extend(_deal(info.path, cuts, info.size, task_bytes))
+        return parts or [_Ranges("", (), 0)]
+
+    def _open(self, partition: _Ranges, start: int, opened: ExitStack) -> _Plain | _Members:
+        """Records of a task's shard from one on that does not lie behind ``start``."""
+        name = partition.path.rsplit("/", 1)[-1]
+        system, _ = _file_system(self.path)
+        raw = opened.enter_context(system.open_input_file(partition.path))
+        return _records(raw, name, self._known_start(name, start))
 
     def _known_start(self, name: str, start: int) -> int:
         """The last indexed offset of a shard that does not lie behind ``start``."""
@@ -500,31 +529,32 @@ class WarcReader(DataSourceReader):
         at = int(np.searchsorted(offsets, start, "right"))
         return int(offsets[at - 1]) if at else 0
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        system, _ = _file_system(self.path)
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         name = partition.path.rsplit("/", 1)[-1]
-        rows, held = [], 0
-        with system.open_input_file(partition.path) as raw:
-            records = _records(raw, name, self._known_start(name, partition.start))
-            try:
-                while records.offset < partition.start and records.head():
-                    pass  # records of the ranges before
-                while partition.start <= records.offset < partition.end:
-                    offset, found = records.offset, records.next()
-                    if found is None:
-                        break
-                    rows.append(self._row(name, offset, *found))
-                    held += found[2] if self.keep_payload else 1024
-                    if held >= BATCH_BYTES:
-                        yield _batch(rows, _ARROW_SCHEMA)
-                        rows, held = [], 0
-            except ValueError as error:
-                if self.strict:
-                    raise
-                if records.offset >= partition.start:
-                    rows.append((name, records.offset, None, BROKEN, str(error), *[None] * 8))
+        rows, held, records = [], 0, None
+        with ExitStack() as opened:
+            for start, end in partition.each():
+                if records is None:
+                    records = self._open(partition, start, opened)
+                try:
+                    while records.offset < start and records.head():
+                        pass  # records of the ranges before
+                    while start <= records.offset < end:
+                        offset, found = records.offset, records.next()
+                        if found is None:
+                            break
+                        rows.append(self._row(name, offset, *found))
+                        held += found[2] if self.keep_payload else 1024
+                        if held >= BATCH_BYTES:
+                            yield _batch(rows, _ARROW_SCHEMA)
+                            rows, held = [], 0
+                except ValueError as error:
+                    if self.strict:
+                        raise
+                    if records.offset >= start:
+                        rows.append((name, records.offset, None, BROKEN, str(error), *[None] * 8))
+                    records = None  # the next range has a start of its own
+                    opened.close()
         if rows:
             yield _batch(rows, _ARROW_SCHEMA)
 
@@ -577,47 +607,50 @@ class ExchangeReader(WarcReader):
         super().__init__(*args)
         self.heads = heads
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        system, _ = _file_system(self.path)
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         name = partition.path.rsplit("/", 1)[-1]
         schema = _PLACES if self.heads else _EXCHANGES
-        rows, held, pending = [], 0, _Pending()
-        with system.open_input_file(partition.path) as raw:
-            records = _records(raw, name, self._known_start(name, partition.start))
-            try:
-                while records.offset < partition.start and records.head():
-                    pass  # records of the ranges before
-                while partition.start <= records.offset < partition.end:
-                    offset = records.offset
-                    if self.heads:
-                        found = records.head()
-                        fields, block, length = (found[0], b"", found[1]) if found else (None,) * 3
-                    else:
-                        fields, block, length = records.next() or (None,) * 3
-                    if fields is None:
-                        break
-                    kind, own = fields["warc-type"], fields.get("warc-record-id")
-                    asked = fields.get("warc-concurrent-to")
-                    if kind == "request" and own:
-                        pending.put(own, (fields, block), length)
+        rows, held, records = [], 0, None
+        with ExitStack() as opened:
+            for start, end in partition.each():
+                if records is None:
+                    records = self._open(partition, start, opened)
+                pending = _Pending()  # a range pairs its own records only
+                try:
+                    while records.offset < start and records.head():
+                        pass  # records of the ranges before
+                    while start <= records.offset < end:
+                        offset = records.offset
                         if self.heads:
-                            rows.append((kind, own, name, offset))
-                    elif kind == "response" and asked:
-                        request = pending.get(asked)
-                        if self.heads and request is None:
-                            rows.append((kind, asked, name, offset))
-                        elif not self.heads and request is not None:
-                            rows.append(_exchange(request, (fields, block)))
-                            held += length
-                    held += 200
-                    if held >= BATCH_BYTES and rows:
-                        yield _batch(rows, schema)
-                        rows, held = [], 0
-            except ValueError:
-                if self.strict:
-                    raise
+                            found = records.head()
+                            fields, block, length = (
+                                (found[0], b"", found[1]) if found else (None,) * 3)
+                        else:
+                            fields, block, length = records.next() or (None,) * 3
+                        if fields is None:
+                            break
+                        kind, own = fields["warc-type"], fields.get("warc-record-id")
+                        asked = fields.get("warc-concurrent-to")
+                        if kind == "request" and own:
+                            pending.put(own, (fields, block), length)
+                            if self.heads:
+                                rows.append((kind, own, name, offset))
+                        elif kind == "response" and asked:
+                            request = pending.get(asked)
+                            if self.heads and request is None:
+                                rows.append((kind, asked, name, offset))
+                            elif not self.heads and request is not None:
+                                rows.append(_exchange(request, (fields, block)))
+                                held += length
+                        held += 200
+                        if held >= BATCH_BYTES and rows:
+                            yield _batch(rows, schema)
+                            rows, held = [], 0
+                except ValueError:
+                    if self.strict:
+                        raise
+                    records = None  # the next range has a start of its own
+                    opened.close()
         if rows:
             yield _batch(rows, schema)
 
@@ -757,7 +790,7 @@ def read_exchanges(spark: SparkSession, path: str, index: str | None = None,
 
         def record(name: str, offset: int) -> tuple[dict, bytes]:
             with system.open_input_file(root if alone else f"{root}/{name}") as raw:
-                return _records(raw, name, offset).next()[:2]
+                return _records(raw, name, offset, 1 << 14).next()[:2]
 
         for batch in batches:
             rows, held = [], 0
