@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from webstrata.operators import clicks, filters, frontier
@@ -80,3 +82,44 @@ def test_reachable(spark):
 
 def test_cycles_end(spark):
     assert _reached(spark, [(1, 2), (2, 3), (3, 1), (3, 4)], [1]) == {1, 2, 3, 4}
+
+
+def test_deep_sets_take_few_jobs(spark, monkeypatch):
+    """A ring, chains into it, and branches between chains: the set of a plain search, in few steps."""
+    from webstrata.operators import frontier
+
+    ring = [(i, (i + 1) % 300) for i in range(300)]
+    inner = [(1000 + i, 1001 + i) for i in range(150)]          # a chain that ends in a branch
+    branch = [(1150, 2000), (1150, 3000), (1150, 1150)]
+    outer = [(2000 + i, 2001 + i) for i in range(70)] + [(3000 + i, 3001 + i) for i in range(40)]
+    side = [(5000 + i, 1000 + i) for i in range(100)]           # never reached, leads in
+    repeated = [(2070, 10), (2070, 10), (3040, 1003), (None, 7), (8, None)]
+    edges = ring + inner + branch + outer + side + repeated
+    writes, write = [], frontier.cut_lineage
+    monkeypatch.setattr(frontier, "cut_lineage", lambda df: writes.append(1) or write(df))
+    roots, make = [], frontier.work_path
+    monkeypatch.setattr(frontier, "work_path", lambda *a: roots.append(make(*a)) or roots[-1])
+    frame = spark.createDataFrame(edges, "src bigint, dst bigint")
+
+    def plain(seeds, allowed=None):
+        seen, todo = set(seeds), list(seeds)
+        while todo:
+            node = todo.pop()
+            for src, dst in edges:
+                if src == node and dst is not None and dst not in seen and (
+                        allowed is None or dst in allowed):
+                    seen.add(dst)
+                    todo.append(dst)
+        return seen
+
+    for seeds in ([1000], [290, 3005], [9999]):
+        starts = spark.createDataFrame([(s,) for s in seeds], "node bigint")
+        got = [r.node for r in frontier.reachable(frame, starts).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain(seeds)
+        assert len(os.listdir(roots[-1].removeprefix("file:"))) < 50
+    allowed = set(range(1000, 1120))
+    scope = spark.createDataFrame([(n,) for n in allowed], "node bigint")
+    starts = spark.createDataFrame([(1000,)], "node bigint")
+    got = {r.node for r in frontier.reachable(frame, starts, scope).collect()}
+    assert got == plain([1000], allowed)
+    assert len(writes) < 40

@@ -12,7 +12,7 @@ from webstrata.operators.filters import drop_unwanted_href, navigated
 from webstrata.operators.lookups import fresh_navigations
 from webstrata.operators.scope import in_scope
 from webstrata.options import CaptureOptions
-from webstrata.session import work_path
+from webstrata.session import cut_lineage, work_path
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -66,12 +66,35 @@ def _next_wave(links: DataFrame, wave: DataFrame, visited: DataFrame) -> DataFra
     return unvisited(targets.select(F.col("dst").alias("node")), visited, "node").select("node")
 
 
+# Hops taken one by one before chains are followed by jumps.
+PLAIN_WAVES = 4
+
+
+class _Chains:
+    """Jumps of 1, 2, 4, ... hops along nodes that lead to one other node each, made as asked for."""
+
+    def __init__(self, links: DataFrame) -> None:
+        ends = links.groupBy("src").agg(F.min("dst").alias("dst"), F.max("dst").alias("_last"))
+        self._jumps = [cut_lineage(ends.where(F.col("dst") == F.col("_last")).drop("_last"))]
+
+    def jump(self, level: int) -> DataFrame:
+        """``src, dst``: the node 2 to the power of ``level`` hops on, where only chains lie between."""
+        while len(self._jumps) <= level:
+            one = self._jumps[-1]
+            on = one.select(F.col("src").alias("dst"), F.col("dst").alias("_on"))
+            self._jumps.append(cut_lineage(
+                one.join(on, "dst").select("src", F.col("_on").alias("dst"))))
+        return self._jumps[level]
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Nodes reachable from ``seeds(node)`` over ``edges(src, dst)``, seeds included.
 
     Each wave is written to the shared folder, so neither lineage nor recomputation grows
-    with the number of waves, and a lost executor costs no earlier wave. ``scope(node)``
-    limits where edges may lead.
+    with the number of waves, and a lost executor costs no earlier wave. A wave is one hop; where
+    there are many, nodes of one target each are followed to the end by jumps that double, so that a
+    chain or ring takes as many jobs as its length has binary digits. ``scope(node)`` limits where
+    edges may lead.
     """
     spark = edges.sparkSession
     folder = work_path(spark, "reachable")
@@ -83,14 +106,30 @@ def reachable(edges: DataFrame, seeds: DataFrame, scope: DataFrame | None = None
     links.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}-edges")
     links = spark.read.schema(links.schema).parquet(f"{folder}-edges")
 
-    step = 0
     wave = seeds.select("node").where(F.col("node").isNotNull()).distinct()
-    schema = wave.schema
+    schema, paths, hops, chains = wave.schema, [], 0, None
+
+    def written(nodes: DataFrame) -> DataFrame:
+        paths.append(f"{folder}/step={len(paths)}")
+        nodes.write.parquet(paths[-1])
+        return spark.read.schema(schema).parquet(paths[-1])
+
+    def visited() -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/*")
+
     while True:
-        path = f"{folder}/step={step}"
-        wave.write.parquet(path)
-        written = spark.read.schema(schema).parquet(path)
-        visited = spark.read.schema(schema).parquet(f"{folder}/*")
-        if written.isEmpty():
-            return visited
-        step, wave = step + 1, _next_wave(links, written, visited)
+        first, found = len(paths), written(wave)
+        if found.isEmpty():
+            return visited()
+        if hops >= PLAIN_WAVES:
+            chains, level = chains or _Chains(links), 0
+            # What lies less than 2 to the power of the level hops on is found; once a jump leads
+            # to nothing new from there, nothing on the chains is left.
+            while not found.isEmpty():
+                wave = spark.read.schema(schema).parquet(*paths[first:])
+                ahead = chains.jump(level).join(wave, F.col("src") == F.col("node"), "left_semi")
+                found = written(unvisited(ahead.select(F.col("dst").alias("node")), visited(),
+                                          "node").select("node"))
+                level += 1
+            found = spark.read.schema(schema).parquet(*paths[first:])
+        hops, wave = hops + 1, _next_wave(links, found, visited())
