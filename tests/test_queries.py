@@ -43,3 +43,20 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["t1_stream_record", "t1_stream_record_any_source",
+                                  "t2_stream_shuffled"])
+def test_arrivals_come_from_several_tasks(spark, monkeypatch, name):
+    """No task writes a whole arrival, and each arrival is still one micro-batch."""
+    from webstrata.plans import queries
+
+    roots, make = [], queries.work_path
+    monkeypatch.setattr(queries, "work_path",
+                        lambda *args: roots.append(make(*args)) or roots[-1])
+    QUERIES[name](spark, SF_DIR)
+    files = spark.read.parquet(f"{roots[0]}/in").select("_metadata.file_path").distinct().count()
+    assert files > 4
+    commits = spark.read.text(f"{roots[0]}/state/commits").select(
+        "_metadata.file_name").distinct().count()
+    assert commits == 4

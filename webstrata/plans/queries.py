@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from webstrata import functions as fn
 from webstrata.operators import clicks, dedup, filters, frontier, lookups, scope, snapshots
@@ -13,7 +14,7 @@ from webstrata.operators import elements as el
 from webstrata.operators.ordered import lay_out, rank_in_group
 from webstrata.options import CaptureOptions
 from webstrata.plans import tables as t
-from webstrata.session import work_path
+from webstrata.session import cut_lineage, work_path
 from webstrata.sources import calls as call_source
 from webstrata.sources import cdx, seeds, sinks, store, warc
 from webstrata.streaming.record import read_recorded, record_files, stream_record
@@ -603,15 +604,25 @@ def i4_reachable(spark, sf_dir):
 
 # Streaming
 
-def _arrivals(spark, sf_dir) -> tuple[str, DataFrame]:
-    """A folder that got the calls in four files, in the order of their time."""
-    root, calls = work_path(spark, "stream"), t.calls(spark, sf_dir)
-    hours = (0, 1, 5, 24, 1 << 20)
-    for low, high in zip(hours, hours[1:]):
-        hour = F.floor((F.unix_millis("ts") - t.START_MS) / 3_600_000)
-        calls.where((hour >= low) & (hour < high)).coalesce(1).write.mode("append").parquet(
-            f"{root}/in")
-    return root, calls
+def _arrive(arrivals: list[DataFrame], source: str,
+            stream: Callable[[int], DataStreamWriter]) -> None:
+    """Rows that arrive as files of a folder, in several tasks; a micro-batch takes each arrival.
+
+    ``stream`` takes the number of an arrival's files, the most of its micro-batch.
+    """
+    known = 0
+    for rows in arrivals:
+        rows.write.mode("append").parquet(source)
+        files = len(rows.sparkSession.read.schema(rows.schema).parquet(source).inputFiles())
+        stream(files - known).trigger(availableNow=True).start().awaitTermination()
+        known = files
+
+
+def _arrivals(spark, sf_dir) -> list[DataFrame]:
+    """The calls in four arrivals, in the order of their time."""
+    calls, hours = t.calls(spark, sf_dir), (0, 1, 5, 24, 1 << 20)
+    hour = F.floor((F.unix_millis("ts") - t.START_MS) / 3_600_000)
+    return [calls.where((hour >= low) & (hour < high)) for low, high in zip(hours, hours[1:])]
 
 
 def _recorded(spark, root) -> DataFrame:
@@ -621,23 +632,25 @@ def _recorded(spark, root) -> DataFrame:
 
 @query
 def t1_stream_record(spark, sf_dir):
-    """The calls as a stream of files, one to a micro-batch, recorded once each from keyed state."""
-    root, _ = _arrivals(spark, sf_dir)
-    record_files(spark, f"{root}/in", f"{root}/out", max_files=1).option(
-        "checkpointLocation", f"{root}/state").trigger(availableNow=True).start(
-    ).awaitTermination()
+    """The calls as a stream of files, an arrival to a micro-batch, recorded once each from keyed state."""
+    root = work_path(spark, "stream")
+    _arrive(_arrivals(spark, sf_dir), f"{root}/in", lambda files: record_files(
+        spark, f"{root}/in", f"{root}/out", max_files=files).option(
+        "checkpointLocation", f"{root}/state"))
     return _recorded(spark, root)
 
 
 @query
 def t1_stream_record_any_source(spark, sf_dir):
     """The same by the form for streams of any source, against the recorded keys."""
-    root, calls = _arrivals(spark, sf_dir)
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(
-        f"{root}/in")
-    stream_record(stream, f"{root}/out").option(
-        "checkpointLocation", f"{root}/state").trigger(availableNow=True).start(
-    ).awaitTermination()
+    root, calls = work_path(spark, "stream"), _arrivals(spark, sf_dir)
+
+    def stream(files: int) -> DataStreamWriter:
+        arrived = spark.readStream.schema(calls[0].schema).option(
+            "maxFilesPerTrigger", files).parquet(f"{root}/in")
+        return stream_record(arrived, f"{root}/out").option("checkpointLocation", f"{root}/state")
+
+    _arrive(calls, f"{root}/in", stream)
     return _recorded(spark, root)
 
 
@@ -663,12 +676,14 @@ def t2_stream_shuffled(spark, sf_dir):
     shots = rank_in_group(laid, ["key"], ["seq"], "number").select(
         "key", F.col("number").alias("seq"), "ts", "html")
     part = F.pmod(F.xxhash64("key", "seq"), F.lit(4))
-    for number in range(4):
-        shots.where(part == number).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(shots.schema).option("maxFilesPerTrigger", 1).parquet(
-        f"{root}/in")
-    stream_stable(stream, 2 * t.DAY, first_seq=1).writeStream.format("parquet").option(
-        "path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(
-        availableNow=True).start().awaitTermination()
+    numbered = cut_lineage(shots)
+
+    def stream(files: int) -> DataStreamWriter:
+        arrived = spark.readStream.schema(shots.schema).option(
+            "maxFilesPerTrigger", files).parquet(f"{root}/in")
+        return stream_stable(arrived, 2 * t.DAY, first_seq=1).writeStream.format("parquet").option(
+            "path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+
+    _arrive([numbered.where(part == number) for number in range(4)], f"{root}/in", stream)
     emitted = spark.read.schema(OUTPUT).parquet(f"{root}/out")
     return emitted.unionByName(finish_stable(spark, f"{root}/state", 2 * t.DAY))
