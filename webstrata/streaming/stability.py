@@ -14,13 +14,15 @@ from webstrata.options import CaptureOptions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "key bigint, outcome string, stable_seq bigint"
+HELD_ROWS = 10_000  # snapshots of a key that a micro-batch holds beside the state
 
 
 class StabilityProcessor(StatefulProcessor):
     """Remembers the last digest of a key until two in a row agree or time is up.
 
     Snapshots whose turn has not come wait in a map by sequence number: until all before them
-    are there where numbers are ``dense``, or until the watermark has passed them (``waits``).
+    are there where numbers are dense (``first_seq``), or until the watermark has passed them
+    (``waits``). Dense ones whose turn comes in their own micro-batch need not enter the map.
     """
 
     def __init__(self, timeout_ms: int, first_seq: int | None, waits: bool,
@@ -43,14 +45,16 @@ class StabilityProcessor(StatefulProcessor):
             turn = sorted((t for frame in rows for t in self._tuples(frame)), key=lambda t: t[0])
             yield from self._walk(key, held, turn, timerValues)
             return
+        if self.first_seq is not None:
+            yield from self._walk(key, held, self._dense(held, rows), timerValues)
+            return
         times = []
         for frame in rows:
             for seq, ms, digest in self._tuples(frame):
                 self.pending.updateValue((seq,), (digest, ms))
             times += [int(frame["ms"].min()), int(frame["ms"].max())]
-        if self.waits:
-            self.handle.registerTimer(max(times) + 1)
-            self.handle.registerTimer(min(times) + self.timeout_ms + 1)
+        self.handle.registerTimer(max(times) + 1)
+        self.handle.registerTimer(min(times) + self.timeout_ms + 1)
         yield from self._walk(key, held, self._due(held, timerValues), timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -72,16 +76,37 @@ class StabilityProcessor(StatefulProcessor):
         for seq, ms, digest in zip(frame["seq"], frame["ms"], frame["digest"]):
             yield int(seq), int(ms), digest if isinstance(digest, str) else None
 
-    def _due(self, held: tuple, timers) -> Iterator[tuple]:
-        """Snapshots whose turn has come, in sequence, taken out of the map."""
-        if self.first_seq is not None:
-            seq = self.first_seq if held[3] is None else held[3] + 1
-            while self.pending.containsKey((seq,)):
+    def _dense(self, held: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """Snapshots whose turn has come, in sequence; then those of ``rows`` that wait are stored.
+
+        Where the walk ends with an outcome, what has not been stored need not be.
+        """
+        fresh, stored = {}, self.pending.exists()
+        for seq, ms, digest in (t for frame in rows for t in self._tuples(frame)):
+            if len(fresh) < HELD_ROWS or seq in fresh:
+                fresh[seq] = (digest, ms)
+            else:
+                self.pending.updateValue((seq,), (digest, ms))
+                stored = True
+        seq = self.first_seq if held[3] is None else held[3] + 1
+        while True:
+            if seq in fresh:
+                digest, ms = fresh.pop(seq)
+                if stored:  # the same number of an earlier micro-batch
+                    self.pending.removeKey((seq,))
+            elif stored and self.pending.containsKey((seq,)):
                 digest, ms = self.pending.getValue((seq,))
                 self.pending.removeKey((seq,))
-                yield seq, ms, digest
-                seq += 1
-        elif self.waits:
+            else:
+                break
+            yield seq, ms, digest
+            seq += 1
+        for seq, waiting in fresh.items():
+            self.pending.updateValue((seq,), waiting)
+
+    def _due(self, held: tuple, timers) -> Iterator[tuple]:
+        """Snapshots whose turn has come, in sequence, taken out of the map."""
+        if self.waits:
             passed = timers.getCurrentWatermarkInMs()
             due = sorted((seq, ms, digest) for (seq,), (digest, ms) in self.pending.iterator()
                          if ms <= passed)
