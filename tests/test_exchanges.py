@@ -1,7 +1,9 @@
 """Exchanges paired where they lie, and archives published by commits."""
 
 import datetime
+import gzip
 import os
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -154,3 +156,31 @@ def test_commit_files_are_whole(folder):
     assert log.jobs() == {"a": ["3"], "b": ["2"]}
     log.add({"c": []}, alone=True)
     assert log.jobs() == {"c": []}
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_small_records_take_little_memory(folder, compress):
+    """Of many small records, or requests packed small, a task holds a bounded share."""
+    path, n = f"{folder}/w.warc" + ".gz" * compress, 300 if compress else 12000
+    sent = [{"name": f"h{k}", "value": str(k)} for k in range(5)]
+    with open(path, "wb") as out:
+        for i in range(n):
+            call = {"call_id": i, "ts": T0, "method": "POST", "uri": f"http://h/{i}", "status": 200,
+                    "req_headers": sent, "req_body": b"q" * (300_000 if compress else 9),
+                    "resp_headers": sent, "resp_body": b"ok"}
+            for one in warc.call_records(call):
+                out.write(gzip.compress(one, 1) if compress else one)
+    whole = warc._Ranges(path, (0,), os.path.getsize(path))
+    assert sum(b.num_rows for b in warc.WarcReader(path, {}, False).read(whole)) == 2 * n  # imports
+    for reader, rows in ((warc.ExchangeReader(path, {}, True), n), (warc.WarcReader(path, {}, True), 2 * n),
+                         (warc.ExchangeReader(path, {}, True, heads=True), n)):
+        got = 0
+        tracemalloc.start()
+        try:
+            for batch in reader.read(whole):
+                got += batch.num_rows
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert got == rows
+        assert peak < (warc.PENDING_BYTES + (8 << 20) if compress else 24 << 20)

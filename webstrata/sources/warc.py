@@ -68,7 +68,8 @@ SPLIT_BYTES = 256 << 20
 TASK_BYTES = 16 << 20  # neighbouring ranges that one task reads, unless they are larger
 TASKS = 256  # an archive is dealt into as many tasks at least, if it has the ranges
 INDEX_BYTES = 64 << 10  # stretches with one offset each in a sparse index
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20  # of a batch's rows as Python objects
+ROW_BYTES, HEADER_BYTES = 512, 384  # what a row and one of its headers take besides their contents
 PENDING_BYTES = 32 << 20  # requests held beside the records a range streams by
 BROKEN = "broken"  # type of the row that tells where a shard could not be read on
 SOFTWARE = "webstrata"
@@ -368,14 +369,28 @@ def _parse_http(kind: str, block: bytes) -> tuple:
     return None, status, headers, payload
 
 
-def _parse_record(kind: str, fields: dict, block: bytes) -> tuple:
+def _is_http(fields: dict) -> bool:
+    return fields.get("content-type", "").startswith("application/http")
+
+
+def _parse_record(kind: str, http: bool, block: bytes) -> tuple:
     """Method, status, headers and payload of a record; none unless it holds an HTTP message."""
-    if kind in ("request", "response") and fields.get("content-type", "").startswith(
-            "application/http"):
+    if kind in ("request", "response") and http:
         return _parse_http(kind, block)
     return None, None, None, None
 
 
+def _row_bytes(row: tuple) -> int:
+    """About what a row's objects take until its batch is made: small records are mostly headers."""
+    size = ROW_BYTES
+    for value in row:
+        if isinstance(value, (bytes, str)):
+            size += len(value)
+        elif isinstance(value, list):
+            size += sum(HEADER_BYTES + len(h["name"]) + len(h["value"]) for h in value)
+    return size
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
@@ -544,10 +559,10 @@ class WarcReader(DataSourceReader):
                         if found is None:
                             break
                         rows.append(self._row(name, offset, *found))
-                        held += found[2] if self.keep_payload else 1024
+                        held += _row_bytes(rows[-1])
                         if held >= BATCH_BYTES:
-                            yield _batch(rows, _ARROW_SCHEMA)
-                            rows, held = [], 0
+                            batch, rows, held = _batch(rows, _ARROW_SCHEMA), [], 0
+                            yield batch
                 except ValueError as error:
                     if self.strict:
                         raise
@@ -560,7 +575,7 @@ class WarcReader(DataSourceReader):
 
     def _row(self, name: str, offset: int, fields: dict, block: bytes, length: int) -> tuple:
         kind = fields["warc-type"]
-        method, status, headers, payload = _parse_record(kind, fields, block)
+        method, status, headers, payload = _parse_record(kind, _is_http(fields), block)
         digest = _digest(payload) if kind == "response" and payload is not None else None
         return (name, offset, length, kind, fields.get("warc-record-id"),
                 fields.get("warc-concurrent-to"), fields.get("warc-target-uri"),
@@ -568,11 +583,11 @@ class WarcReader(DataSourceReader):
                 payload if self.keep_payload else None, digest)
 
 
-def _exchange(request: tuple[dict, bytes], response: tuple[dict, bytes]) -> tuple:
-    """A row of `EXCHANGE_SCHEMA` from the fields and blocks of two records."""
-    (sent, block), (fields, answer) = request, response
-    method, _, req_headers, req_body = _parse_record("request", sent, block)
-    _, status, resp_headers, resp_body = _parse_record("response", fields, answer)
+def _exchange(request: tuple[bool, bytes], response: tuple[dict, bytes]) -> tuple:
+    """A row of `EXCHANGE_SCHEMA` from a request, whether it is HTTP and its block, and a response."""
+    (http, block), (fields, answer) = request, response
+    method, _, req_headers, req_body = _parse_record("request", http, block)
+    _, status, resp_headers, resp_body = _parse_record("response", _is_http(fields), answer)
     return (fields.get("warc-record-id"), _parse_date(fields.get("warc-date")), method,
             fields.get("warc-target-uri"), req_headers, req_body, status, resp_headers, resp_body)
 
@@ -581,15 +596,16 @@ class _Pending:
     """The latest requests of a range, of bounded size, that responses may refer to.
 
     What is held depends on heads alone, so a walk over heads tells which responses find none.
+    Sizes are those of blocks as they are held, unpacked.
     """
 
     def __init__(self) -> None:
         self._held: dict[str, tuple[object, int]] = {}
         self._bytes = 0
 
-    def put(self, record_id: str, request, length: int) -> None:
-        self._bytes += length - self._held.pop(record_id, (None, 0))[1]
-        self._held[record_id] = (request, length)
+    def put(self, record_id: str, request, size: int) -> None:
+        self._bytes += size - self._held.pop(record_id, (None, 0))[1]
+        self._held[record_id] = (request, size)
         while self._bytes > PENDING_BYTES and len(self._held) > 1:
             self._bytes -= self._held.pop(next(iter(self._held)))[1]
 
@@ -621,31 +637,30 @@ class ExchangeReader(WarcReader):
                         pass  # records of the ranges before
                     while start <= records.offset < end:
                         offset = records.offset
-                        if self.heads:
-                            found = records.head()
-                            fields, block, length = (
-                                (found[0], b"", found[1]) if found else (None,) * 3)
-                        else:
-                            fields, block, length = records.next() or (None,) * 3
-                        if fields is None:
+                        found = records.head() if self.heads else records.next()
+                        if found is None:
                             break
+                        fields, block = found[0], b"" if self.heads else found[1]
                         kind, own = fields["warc-type"], fields.get("warc-record-id")
                         asked = fields.get("warc-concurrent-to")
                         if kind == "request" and own:
-                            pending.put(own, (fields, block), length)
-                            if self.heads:
-                                rows.append((kind, own, name, offset))
+                            pending.put(own, (_is_http(fields), block),
+                                        int(fields["content-length"]) + ROW_BYTES)
+                            row = (kind, own, name, offset) if self.heads else None
                         elif kind == "response" and asked:
                             request = pending.get(asked)
-                            if self.heads and request is None:
-                                rows.append((kind, asked, name, offset))
-                            elif not self.heads and request is not None:
-                                rows.append(_exchange(request, (fields, block)))
-                                held += length
-                        held += 200
-                        if held >= BATCH_BYTES and rows:
-                            yield _batch(rows, schema)
-                            rows, held = [], 0
+                            if self.heads:
+                                row = (kind, asked, name, offset) if request is None else None
+                            else:
+                                row = request and _exchange(request, (fields, block))
+                        else:
+                            row = None
+                        if row is not None:
+                            rows.append(row)
+                            held += _row_bytes(row)
+                        if held >= BATCH_BYTES:
+                            batch, rows, held = _batch(rows, schema), [], 0
+                            yield batch
                 except ValueError:
                     if self.strict:
                         raise
@@ -796,16 +811,16 @@ def read_exchanges(spark: SparkSession, path: str, index: str | None = None,
             rows, held = [], 0
             for name, offset, req_name, req_offset in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    request, response = record(req_name, req_offset), record(name, offset)
+                    (sent, block), response = record(req_name, req_offset), record(name, offset)
                 except ValueError:
                     if strict:
                         raise
                     continue
-                rows.append(_exchange(request, response))
-                held += len(request[1]) + len(response[1])
+                rows.append(_exchange((_is_http(sent), block), response))
+                held += _row_bytes(rows[-1])
                 if held >= BATCH_BYTES:
-                    yield _batch(rows, _EXCHANGES)
-                    rows, held = [], 0
+                    made, rows, held = _batch(rows, _EXCHANGES), [], 0
+                    yield made
             if rows:
                 yield _batch(rows, _EXCHANGES)
 
