@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -140,6 +141,21 @@ def test_rows_in_scope_stay_single(spark):
     assert scope.seed_scope(rows, seeds.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("tops", [["top.org"], ["top.org", "org", "invalid"]])
+def test_seeds_below_one_domain_are_dealt_over_tasks(spark, tops):
+    """Of very many seeds below one domain, which may be a seed, no task joins most."""
+    names = [f"h{i}.{top}" for i in range(2000) for top in ("top.org", "invalid")] + [
+        f"{'a.' * (i % 3)}own{i}.com" for i in range(50)] + ["", ".", "..", "x..org", "own9.com", "com."]
+    seeds = spark.createDataFrame([(name,) for name in [*names, *tops, None]], "host string")
+    with_domains = {h: [".".join(h.split(".")[k:]) for k in range(1, h.count(".") + 1)]
+                    for h in [*names, *tops]}
+    want = sorted(h for h, above in with_domains.items() if not with_domains.keys() & set(above))
+    got = scope.topmost_hosts(seeds, True)
+    assert sorted(r[0] for r in got.collect()) == want
+    join = re.search(r"Join \[_above.*LeftSemi", got._jdf.queryExecution().executedPlan().toString())
+    assert "_salt" in join[0]
+
+
 def test_hot_keys_and_salted_lookup(spark):
     left = _skewed(spark).withColumnRenamed("g", "k")
     right = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3)], "k string, w int")

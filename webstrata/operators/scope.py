@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions.urls import host_suffixes, settle, url_host, url_scheme
 from webstrata.operators.filters import external_scope
+from webstrata.operators.skew import salted_lookup
 from webstrata.options import CaptureOptions
 
 
@@ -19,9 +20,13 @@ def topmost_hosts(seed_hosts: DataFrame, subdomains: bool) -> DataFrame:
         F.col("_seed").isNotNull()).distinct()
     if not subdomains:
         return seeds
-    above = F.filter(host_suffixes("_seed"), lambda suffix: suffix != F.col("_seed"))
-    below = seeds.select("_seed", F.explode(above).alias("_above")).join(
-        seeds.select(F.col("_seed").alias("_above")), "_above", "left_semi")
+    dots = F.length("_seed") - F.length(F.replace("_seed", F.lit("."), F.lit("")))
+    above = F.when(dots > 0, F.transform(F.sequence(F.lit(1), dots), lambda labels: F.call_function(
+        "substring_index", F.col("_seed"), F.lit("."), -labels)))
+    # Very many seeds may lie below one domain, a seed or not: their rows are dealt over tasks.
+    below = salted_lookup(seeds.select("_seed", F.explode(above).alias("_above")),
+                          seeds.select(F.col("_seed").alias("_above")), "_above", ["_seed"],
+                          "left_semi")
     return seeds.join(below.select("_seed"), "_seed", "left_anti")
 
 
